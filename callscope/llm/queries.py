@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from .ann import neighbours
 from .common import WORDS_SQL, table
 from .decontaminate import K, WINDOW, decontaminate
+from .edit_counts import edited_counts
 from .jaccard_join import THRESHOLD, jaccard_join
 from .language_id import identify
+from .license_scan import license_scan
+from .lm_score import lm_score
 from .mixing import mix
 from .token_output import token_output
+from .url_rules import url_rules
 
 _RUN = K + WINDOW - 1
 
@@ -44,8 +49,13 @@ QUERIES = {
     "op1_token_output": _documents(token_output),
     "op2_language_id": _documents(identify),
     "op3_decontaminate": lambda spark, sf_dir: decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op4_neighbours": lambda spark, sf_dir: neighbours(table(spark, sf_dir, "embeddings")),
+    "op5_url_rules": lambda spark, sf_dir: url_rules(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")),
     "op6_mix_sources": _documents(mix),
+    "op7_license_scan": _documents(license_scan),
     "op8_jaccard_join": _documents(jaccard_join),
+    "op9_lm_score": _documents(lm_score),
+    "op10_edit_counts": _documents(edited_counts),
 }
 
 SQL = {"op3_decontaminate": OP3_SQL, "op8_jaccard_join": OP8_SQL}
