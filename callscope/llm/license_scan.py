@@ -104,7 +104,11 @@ class Scanner:
                 key = (-got[0] * got[1], -got[3], got[2])
                 if self.names[k] not in best or key < best[self.names[k]][0]:
                     best[self.names[k]] = (key, got)
-        return [(name, *got) for name, (_, got) in sorted(best.items())]
+        out: list[tuple] = []
+        for name, (_, got) in sorted(best.items(), key=lambda x: (x[1][0], x[0])):
+            if all(got[2] >= r[3] + r[4] or got[2] + got[3] <= r[3] for r in out):
+                out.append((name, *got))
+        return sorted(out)
 
     def _windows(self, ids: np.ndarray, k: int):
         t, need = self.lists[k], int(self.need[k])
@@ -131,7 +135,7 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
 
     coverage is the share of the template's words that are aligned, density the share of aligned words in the run of the
     text (first_word, from 0, and n_words) that they lie in. Of several templates or places, that of the greatest product
-    of both counts, then the longest, then the first. Words are lower-cased and punctuation is ignored. Null and empty texts give no
+    of both counts, then the longest, then the first; of licenses at overlapping places likewise. Words are lower-cased and punctuation is ignored. Null and empty texts give no
     rows; repeated rows give their rows each; null ids are kept; other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)
