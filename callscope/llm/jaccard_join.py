@@ -1,6 +1,6 @@
 """Jaccard self-join of documents' word n-gram sets by extended prefixes.
 
-Grams are put in one order, rare ones first. A document of s grams that is to share at least ceil(J s) of them can miss
+Grams are put in one order, rare ones first: by their count over all documents, as a table of hash slots knows it. A document of s grams that is to share at least ceil(J s) of them can miss
 at most s - ceil(J s); its prefix goes on until more would have to be missed. Rare grams are signatures by themselves.
 Frequent grams fall in hashed groups; of a group of class k every k grams of the prefix together are one signature, so a
 group's first k - 1 grams can't count and the prefix is longer by as many. Two documents over the threshold share a
@@ -23,6 +23,7 @@ from .common import column, kgrams, mix, pick, release, small_batches, word_hash
 N, THRESHOLD = 2, 0.7
 FREQUENT, VERY_FREQUENT = 64, 2048  # documents from which grams count in twos, and in threes
 FREQUENT_LIMIT = 4_000_000  # frequent grams that are broadcast; more of them, and the bound for being frequent is doubled
+SLOT_BITS = 25  # counts of grams by so many upper bits of their hash; of several grams in a slot the highest counts
 ROUND = 4_000_000  # grams gathered by a task before it hands them on
 
 
@@ -55,14 +56,16 @@ def _cut(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return edges, np.append(edges[1:], len(keys))
 
 
-def frequent_grams(docs: DataFrame, n: int, least: int = FREQUENT, limit: int = FREQUENT_LIMIT) -> tuple[np.ndarray, np.ndarray]:
+def frequent_grams(docs: DataFrame, n: int, least: int = FREQUENT, limit: int = FREQUENT_LIMIT, slot_bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, count) of grams, by their upper bits, that are in at least so many documents; exact counts over all documents.
 
-    The bound is doubled until no more than limit are left, so what is broadcast has a fixed size at any scale.
+    The bound is doubled until no more than limit are left. The third array has the highest count (255 at most) of the
+    grams of each hash slot: 1 means that no two documents share one. What is broadcast has a fixed size at any scale.
     """
     buckets = _buckets(docs)
     bits = buckets.bit_length() - 1
     shift = np.uint64(32 - bits)  # keys are bits + 32 of the 64
+    own = max(0, min(slot_bits - bits, 32))  # upper bits of a key that number the slots of its bucket
 
     def count(batches):
         held, size = [], 0
@@ -103,9 +106,18 @@ def frequent_grams(docs: DataFrame, n: int, least: int = FREQUENT, limit: int =
         total = np.add.reduceat(c, start)
         big = total >= least
         key = (np.uint64(t.column("b")[0].as_py()) << np.uint64(32)) | keys[start][big].astype(np.uint64)
-        return pa.table({"key": pa.array(key.view(np.int64)), "n": pa.array(total[big].astype(np.int64))})
-
-    got = written(docs.select("text").mapInArrow(count, "b int, one binary, many binary, n binary").groupBy("b").applyInArrow(merge, "key bigint, n bigint"), "frequent")
+        place = (keys[start] >> np.uint32(32 - own)).astype(np.int64) if own else np.zeros(len(start), np.int64)
+        run = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        slots = np.zeros(1 << own, np.uint8)
+        slots[place[run]] = np.maximum.reduceat(np.minimum(total, 255), run)
+        rows = pa.table({"key": pa.array(key.view(np.int64)), "n": pa.array(total[big].astype(np.int64)), "slots": pa.nulls(len(key), pa.binary())})
+        return pa.concat_tables([rows, pa.table({"key": t.column("b").slice(0, 1).cast(pa.int64()), "n": pa.nulls(1, pa.int64()), "slots": pa.array([slots.tobytes()], pa.binary())})])
+
+    made = written(docs.select("text").mapInArrow(count, "b int, one binary, many binary, n binary").groupBy("b").applyInArrow(merge, "key bigint, n bigint, slots binary"), "frequent")
+    slots = np.zeros((buckets, 1 << own), np.uint8)
+    for r in made.where("slots is not null").select("key", "slots").toLocalIterator():
+        slots[r["key"]] = np.frombuffer(r["slots"], np.uint8)
+    got = made.where("slots is null").select("key", "n")
     sizes = dict(got.groupBy(F.floor(F.log2("n")).cast("int").alias("l")).count().collect())
     level = math.log2(least)
     while sum(c for l, c in sizes.items() if l >= level) > limit:
@@ -113,17 +125,28 @@ def frequent_grams(docs: DataFrame, n: int, least: int = FREQUENT, limit: int =
     t = got.where(F.col("n") >= F.lit(float(2**level))).toArrow()
     key, num = t["key"].to_numpy().astype(np.uint64), t["n"].to_numpy()
     o = np.argsort(key)
-    return key[o], num[o]
+    return key[o], num[o], slots.ravel()
+
 
+def signatures(g: np.ndarray, level: np.ndarray, threshold: float, count: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of one document: its sorted distinct grams, and the class (1, 2 or 3) and count of each.
 
-def signatures(g: np.ndarray, level: np.ndarray, threshold: float) -> np.ndarray:
-    """Signatures of one document: its sorted distinct grams, and the class (1, 2 or 3) of each."""
+    Grams with a count of 1 take their place in the prefix, but nothing can meet there: they aren't given out.
+    """
     s = len(g)
     need = s - math.ceil(threshold * s - 1e-9) + 1
     rare = g[level == 1]
+    if count is not None:
+        own = count[level == 1]
+        o = np.argsort(own, kind="stable")
+        if len(rare) >= need:
+            o = o[:need]
+        rare, shared = rare[o], rare[o][own[o] > 1]
+    else:
+        rare = shared = rare[:need] if len(rare) >= need else rare
     if len(rare) >= need:
-        return rare[:need]
-    out = [rare]
+        return shared
+    out = [shared]
     f, k = g[level > 1], level[level > 1].astype(np.int64)
     o = np.lexsort((f, k))
     f, k = f[o], k[o]
@@ -156,15 +179,16 @@ def signatures(g: np.ndarray, level: np.ndarray, threshold: float) -> np.ndarray
     return np.unique(np.concatenate(out))
 
 
-def _lists(docs: DataFrame, n: int, threshold: float, frequent: tuple[np.ndarray, np.ndarray], very: int) -> DataFrame:
+def _lists(docs: DataFrame, n: int, threshold: float, frequent: tuple[np.ndarray, np.ndarray, np.ndarray], very: int) -> DataFrame:
     """Documents that share a signature, as (leader, members): the leader is the least id."""
     spark, buckets = docs.sparkSession, _buckets(docs)
     bits = buckets.bit_length() - 1
-    shared = spark.sparkContext.broadcast((frequent[0], np.where(frequent[1] >= very, 3, 2).astype(np.uint8)))
+    shared = spark.sparkContext.broadcast((frequent[0], np.where(frequent[1] >= very, 3, 2).astype(np.uint8), frequent[2]))
     shift = np.uint64(32 - bits)
 
     def sign(batches):
-        keys, cls = shared.value
+        keys, cls, slots = shared.value
+        place = np.uint64(65 - len(slots).bit_length())
         held, ids, size = [], [], 0
 
         def out():
@@ -183,9 +207,10 @@ def _lists(docs: DataFrame, n: int, threshold: float, frequent: tuple[np.ndarray
                 k = g >> shift
                 p = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
                 level = np.where(keys[p] == k, cls[p], 1).astype(np.uint8)
+            num = slots[(g >> place).astype(np.int64)]
             for i, d in enumerate(column(b, "doc_id")):
                 if off[i + 1] > off[i]:
-                    s = signatures(g[off[i] : off[i + 1]], level[off[i] : off[i + 1]], threshold)
+                    s = signatures(g[off[i] : off[i + 1]], level[off[i] : off[i + 1]], threshold, num[off[i] : off[i + 1]])
                     held.append(s)
                     ids.append(np.full(len(s), d, np.int64))
                     size += len(s)
@@ -219,12 +244,45 @@ def _lists(docs: DataFrame, n: int, threshold: float, frequent: tuple[np.ndarray
     return written(rows.groupBy("b").applyInArrow(merge, "leader bigint, members binary").distinct(), "signature-lists")
 
 
-def overlaps(lists: list[np.ndarray], ids: np.ndarray, g: np.ndarray, off: np.ndarray, threshold: float):
-    """For each document that has partners of a higher id in its lists: (its place, their places, shared grams)."""
+def sketch(g: np.ndarray) -> bytes:
+    """Parities of the counts of a set's grams by their low bits: at least two bits a gram, a power of two of them."""
+    b = max(128, 1 << (2 * len(g) - 1).bit_length())
+    odd = np.bincount((g & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Bounds from below for how many grams are in one of two sets only: parities that differ, at the smaller width."""
+
+    def __init__(self, bits: list[bytes]):
+        self.cls = np.array([len(x).bit_length() for x in bits], np.int64)
+        self.own, self.half, self.rows = np.zeros(len(bits), np.int64), np.zeros(len(bits), np.int64), {}
+        for c in sorted(set(self.cls.tolist()), reverse=True):
+            at = np.flatnonzero(self.cls == c)
+            m = np.frombuffer(b"".join([bits[i] for i in at.tolist()]), "<u8").reshape(len(at), -1)
+            w = m.shape[1] // 2
+            self.own[at], self.half[at] = self._put(c, m), self._put(c - 1, m[:, :w] ^ m[:, w:])
+
+    def _put(self, c: int, m: np.ndarray) -> np.ndarray:
+        old = self.rows.get(c, np.empty((0, m.shape[1]), np.uint64))
+        self.rows[c] = np.concatenate([old, m])
+        return np.arange(len(old), len(old) + len(m))
+
+    def apart(self, i: int, js: np.ndarray) -> np.ndarray:
+        """For sets whose sizes differ by a factor of two at most."""
+        out, c = np.zeros(len(js), np.int64), int(self.cls[i])
+        for step in (-1, 0, 1):
+            at = np.flatnonzero(self.cls[js] == c + step)
+            if len(at):
+                m = self.rows[min(c, c + step)]
+                mine = m[self.half[i] if step < 0 else self.own[i]]
+                out[at] = np.bitwise_count(m[(self.half if step > 0 else self.own)[js[at]]] ^ mine).sum(1)
+        return out
+
+
+def nearby(lists: list[np.ndarray], ids: np.ndarray, size: np.ndarray, sketches: Sketches, threshold: float):
+    """(place, places of higher ids) of documents that share a list and can still be over the threshold."""
     order = np.argsort(ids, kind="stable")
-    local, counts = np.unique(g, return_counts=True)
-    gid = np.searchsorted(local, g)
-    size = np.diff(off)
     member: list[list[int]] = [[] for _ in ids]
     places = []
     for x in lists:
@@ -233,42 +291,104 @@ def overlaps(lists: list[np.ndarray], ids: np.ndarray, g: np.ndarray, off: np.nd
         places.append(p)
         for q in p.tolist():
             member[q].append(len(places) - 1)
-    mark, flag = np.zeros(len(local), np.int32), np.zeros(len(ids), bool)
     for i in range(len(ids)):
-        for m in member[i]:
-            flag[places[m]] = True
-        js = np.flatnonzero(flag)
-        flag[js] = False
+        if not member[i]:
+            continue
+        js = np.unique(np.concatenate([places[m] for m in member[i]])) if len(member[i]) > 1 else places[member[i][0]]
         js = js[ids[js] > ids[i]]
         js = js[np.minimum(size[js], size[i]) >= threshold * np.maximum(size[js], size[i]) - 1e-9]
-        if not len(js):
-            continue
-        mine = gid[off[i] : off[i + 1]]
-        mark[mine] = 1
-        n = size[js]
-        at = np.repeat(off[js] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        inter = np.add.reduceat(mark[gid[at]], np.cumsum(n) - n)
-        mark[mine] = 0
-        ok = inter >= threshold * (size[i] + n - inter) - 1e-9
-        if ok.any():
-            yield i, js[ok], inter[ok]
+        if len(js):
+            js = js[sketches.apart(i, js) <= (1 - threshold) / (1 + threshold) * (size[i] + size[js]) + 1e-6]
+        if len(js):
+            yield i, js
 
 
-def _verified(docs: DataFrame, lists: DataFrame, n: int, threshold: float, forest: bool) -> DataFrame:
-    """Pairs over the threshold; as a forest, no more of them than it takes to connect what is connected."""
+def overlaps(wanted: list[tuple[int, np.ndarray]], ids: np.ndarray, g: np.ndarray, off: np.ndarray, threshold: float):
+    """Of each (id, ids to compare it with): (its place, their places, shared grams) of those over the threshold."""
+    order = np.argsort(ids, kind="stable")
+    local = np.unique(g)
+    gid = np.searchsorted(local, g)
+    size = np.diff(off)
+    mark = np.zeros(len(local), np.int32)
+
+    def places(x):
+        lo, hi = np.searchsorted(ids[order], x, "left"), np.searchsorted(ids[order], x, "right")
+        return np.concatenate([order[a:z] for a, z in zip(lo, hi)]) if (hi - lo != 1).any() else order[lo]
+
+    for one, others in wanted:
+        js = places(others)
+        js = js[size[js] > 0]
+        for i in places(np.array([one])).tolist():
+            if not len(js) or not size[i]:
+                continue
+            mine = gid[off[i] : off[i + 1]]
+            mark[mine] = 1
+            n = size[js]
+            at = np.repeat(off[js] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            inter = np.add.reduceat(mark[gid[at]], np.cumsum(n) - n)
+            mark[mine] = 0
+            ok = inter >= threshold * (size[i] + n - inter) - 1e-9
+            if ok.any():
+                yield i, js[ok], inter[ok]
+
+
+def _near(docs: DataFrame, lists: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(doc_b, lead, others) packed: the documents of lower ids that doc_b is to be compared with; lead is the least."""
+
+    def draw(batches):
+        for b in small_batches(batches):
+            g, off = gram_sets(column(b, "text"), n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off), pa.int64()), pa.array([sketch(g[a:z]) for a, z in zip(off, off[1:])], pa.binary())], ["doc_id", "size", "bits"])
 
     def need(batches):
         for b in batches:
             got = np.unique(np.concatenate([np.stack([np.full(len(m) // 8, p), np.frombuffer(m, "<i8")], 1) for p, m in zip(column(b, "part"), column(b, "members"))] or [np.empty((0, 2), np.int64)]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(got[:, 0], pa.int64()), pa.array(got[:, 1], pa.int64())], ["part", "doc_id"])
 
-    # all lists of a leader are checked together, and many leaders in one call
-    lists = lists.select(F.pmod(F.xxhash64("leader"), F.lit(4 * _buckets(docs))).alias("part"), "members")
+    def compare(a, b):
+        members = [np.frombuffer(m, "<i8") for m in sorted(set(a.column("members").to_pylist()))]
+        ids, size = np.array(b.column("doc_id").to_pylist(), np.int64), np.array(b.column("size").to_pylist(), np.int64)
+        out = [np.empty((0, 2), np.int64)]
+        for i, js in nearby(members, ids, size, Sketches(b.column("bits").to_pylist()), threshold):
+            out.append(np.stack([np.full(len(js), ids[i]), ids[js]], 1))
+        r = np.concatenate(out)
+        return pa.table({"doc_a": r[:, 0], "doc_b": r[:, 1]})
+
+    def gather(t):
+        r = np.unique(np.stack([t.column("doc_b").to_numpy(), t.column("doc_a").to_numpy()], 1), axis=0)
+        start = np.flatnonzero(np.append(True, r[1:, 0] != r[:-1, 0]))
+        edges = np.append(start, len(r))
+        return pa.table({"doc_b": r[start, 0], "lead": r[start, 1], "others": pa.array([np.ascontiguousarray(r[x:y, 1]).tobytes() for x, y in zip(edges, edges[1:])], pa.binary())})
+
+    # all lists of a leader are looked at together, and many leaders in one call
+    many = 4 * _buckets(docs)
+    lists = lists.select(F.pmod(F.xxhash64("leader"), F.lit(many)).alias("part"), "members")
     wanted = lists.mapInArrow(need, "part bigint, doc_id bigint").distinct()
+    drawn = wanted.join(docs.select("doc_id", "text").mapInArrow(draw, "doc_id bigint, size bigint, bits binary"), "doc_id").select("part", "doc_id", "size", "bits")
+    pairs = lists.groupBy("part").cogroup(drawn.groupBy("part")).applyInArrow(compare, "doc_a bigint, doc_b bigint")
+    return written(pairs.withColumn("p", F.pmod(F.xxhash64("doc_b"), F.lit(many))).groupBy("p").applyInArrow(gather, "doc_b bigint, lead bigint, others binary"), "near")
+
+
+def _verified(docs: DataFrame, lists: DataFrame, n: int, threshold: float, forest: bool) -> DataFrame:
+    """Pairs over the threshold; as a forest, no more of them than it takes to connect what is connected.
+
+    Candidates are first compared by sketches, which are far smaller than texts and lose no pair; the texts of what is left
+    go to the place of their least candidate, so those of a group of copies meet there once.
+    """
+    near = _near(docs, lists, n, threshold)
+    release(docs.sparkSession)
+
+    def need(batches):
+        for b in batches:
+            got = np.unique(np.concatenate([np.stack([np.full(len(m) // 8 + 1, p), np.append(np.frombuffer(m, "<i8"), d)], 1) for p, d, m in zip(column(b, "part"), column(b, "doc_b"), column(b, "others"))] or [np.empty((0, 2), np.int64)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0], pa.int64()), pa.array(got[:, 1], pa.int64())], ["part", "doc_id"])
+
+    near = near.select(F.pmod(F.xxhash64("lead"), F.lit(4 * _buckets(docs))).alias("part"), "doc_b", "others")
+    wanted = near.mapInArrow(need, "part bigint, doc_id bigint").distinct()
     texts = wanted.join(docs, "doc_id").select("part", "doc_id", "text")
 
     def check(a, b):
-        members = [np.frombuffer(m, "<i8") for m in sorted(set(a.column("members").to_pylist()))]
+        pairs = sorted(zip(a.column("doc_b").to_pylist(), [np.frombuffer(m, "<i8") for m in a.column("others").to_pylist()]), key=lambda x: x[0])
         ids = np.array(b.column("doc_id").to_pylist(), np.int64)
         g, off = gram_sets(b.column("text").to_pylist(), n)
         out, top = [np.empty((0, 4), np.int64)], np.arange(len(ids))
@@ -279,19 +399,19 @@ def _verified(docs: DataFrame, lists: DataFrame, n: int, threshold: float, fores
                 x = top[x]
             return x
 
-        for i, js, inter in overlaps(members, ids, g, off, threshold):
+        for i, js, inter in overlaps(pairs, ids, g, off, threshold):
             if forest:
                 for j, c in zip(js.tolist(), inter.tolist()):
                     p, q = root(i), root(j)
                     if p != q:
                         top[max(p, q)] = min(p, q)
-                        out.append(np.array([[ids[i], ids[j], c, 0]]))
+                        out.append(np.array([[ids[j], ids[i], c, 0]]))
             else:
-                out.append(np.stack([np.full(len(js), ids[i]), ids[js], inter, off[i + 1] - off[i] + off[js + 1] - off[js] - inter], 1))
+                out.append(np.stack([ids[js], np.full(len(js), ids[i]), inter, off[i + 1] - off[i] + off[js + 1] - off[js] - inter], 1))
         r = np.concatenate(out)
         return pa.table({"doc_a": r[:, 0], "doc_b": r[:, 1], "shared": r[:, 2], "united": r[:, 3]})
 
-    return lists.groupBy("part").cogroup(texts.groupBy("part")).applyInArrow(check, "doc_a bigint, doc_b bigint, shared bigint, united bigint")
+    return near.groupBy("part").cogroup(texts.groupBy("part")).applyInArrow(check, "doc_a bigint, doc_b bigint, shared bigint, united bigint")
 
 
 def _candidates(docs: DataFrame, n: int, threshold: float, frequent: int, very: int, limit: int) -> tuple[DataFrame, DataFrame]:
