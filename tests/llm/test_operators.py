@@ -1,0 +1,265 @@
+"""The corpus operators against brute force, exact round trips and held-out rows; and on odd tables."""
+
+import itertools
+import random
+from functools import cache
+
+import numpy as np
+import pytest
+
+from callscope.llm import ann, decontaminate, edit_counts, jaccard_join, language_id, license_scan, lm_score, mixing, token_output, tokens, url_rules
+from callscope.llm.common import words
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+R = random.Random(5)
+VOCAB = {"en": [a + b for a in ("th", "wh", "sh", "ing") for b in ("e", "at", "or", "and", "ly")], "de": [a + b for a in ("sch", "ei", "un", "ver") for b in ("en", "ung", "ch", "ß")]}
+
+
+def prose(lang, n):
+    return " ".join(R.choice(VOCAB[lang]) + R.choice(VOCAB[lang]) for _ in range(n))
+
+
+@cache
+def corpus():
+    rows = [(i, prose(lang, 30 + i), lang, f"s{i % 3}", 1) for i, lang in enumerate(["en", "de"] * 15)]
+    rows += [(100, rows[0][1], "en", "s0", 1), (101, rows[0][1] + " more", "en", "s1", 1)]
+    return rows + [(200, None, None, None, None), (201, "", "en", None, 0), (None, "thing that", "en", "s0", 1), (202, "the", "en", "s1", 3), (202, "the", "en", "s1", 3)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def sets(text, n=2):
+    w = words(text)
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+
+def test_codec_round_trip():
+    v = np.array([0, 1, 255, 256, 65535, 65536, 2**24, 2**32 - 1] * 3 + [7], np.uint32)
+    off = np.array([0, 0, 5, 25])
+    control, coff, data, doff = token_output.pack(v, off)
+    for k in range(3):
+        n = off[k + 1] - off[k]
+        assert (token_output.unpack(n, control[coff[k] : coff[k + 1]].tobytes(), data[doff[k] : doff[k + 1]].tobytes()) == v[off[k] : off[k + 1]]).all()
+
+
+def test_token_output(docs, empty):
+    enc = tokens.encoder()
+    rank = token_output.ranking(token_output._ids(docs, tokens.TOKENIZER))
+    got = sorted((r["doc_id"] or -1, enc.decode(token_output.decode(r["n_tokens"], r["control"], r["data"], rank)).decode()) for r in token_output.token_output(docs).collect())
+    assert got == sorted((r[0] or -1, r[1] or "") for r in corpus())
+    counts = np.zeros(len(rank), np.int64)
+    for r in corpus():
+        np.add.at(counts, enc.plain.encode_ordinary(r[1] or ""), 1)
+    assert (np.argsort(rank) == np.lexsort((np.arange(len(rank)), -counts))).all()
+    assert token_output.token_output(empty).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", " a", "a  b", "a\n b ", "x 'll y", "é  1  2"])
+def test_tokens_are_the_tokenizers(text):
+    enc = tokens.encoder()
+    assert np.frombuffer(enc.encode(text), "<u2").tolist() == enc.plain.encode_ordinary(text)
+
+
+def test_gradients():
+    m = language_id.BiGRU(["a", "b"], 3)
+    m.w = {k: v.astype("f8") for k, v in m.w.items()}
+    x, n = language_id.padded([b" abc", b" de"])
+    y = np.array([0, 1])
+    _, g = m.gradients(x, n, y)
+    for k in ("Uf", "Ub", "Vf", "v"):
+        i = (0,) * m.w[k].ndim
+        m.w[k][i] += 1e-3
+        up, _ = m.gradients(x, n, y)
+        m.w[k][i] -= 2e-3
+        down, _ = m.gradients(x, n, y)
+        m.w[k][i] += 1e-3
+        assert g[k][i] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-3)
+
+
+def test_language(spark, docs, empty):
+    model = language_id.train(docs)
+    fresh = spark.createDataFrame([(i, prose(lang, 40), lang) for i, lang in enumerate(["en", "de"] * 10)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(fresh, model).collect()}
+    assert sum(got[r["doc_id"]]["language"] == r["lang"] for r in fresh.collect()) >= 19
+    assert all(len(got[r["doc_id"]]["labels"]) == len(r["text"].encode()) for r in fresh.collect())
+    odd = language_id.identify(docs, model).where("doc_id in (200, 201)").collect()
+    assert len(odd) == 2 and not any(r["accepted"] or r["language"] for r in odd)
+    assert language_id.identify(empty).count() == 0
+    assert language_id.accepted(docs, model=model).columns == docs.columns
+
+
+def runs(a, b, least):
+    out = set()
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n >= least:
+                out.add((i, j, n))
+    return out
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_decontaminate(spark, docs, empty, limit):
+    rows = corpus()
+    bench = [(1, rows[3][1][20:150]), (2, None), (3, "short"), (1, rows[3][1][20:150]), (4, prose("en", 5) + " " + " ".join(rows[5][1].split()[4:16]))]
+    b = spark.createDataFrame(bench, "item_id bigint, text string")
+    want = {(d[0], i, *r) for d in rows if d[0] is not None for i, t in bench for r in runs(words(d[1]), words(t), 8)}
+    assert {tuple(r) for r in decontaminate.decontaminate(docs, b, shared_limit=limit).collect()} == want
+    left = sorted(r["doc_id"] or -1 for r in decontaminate.clean(docs, b, shared_limit=limit).collect())
+    assert left == sorted(r[0] or -1 for r in rows if r[0] is None or r[0] not in {w[0] for w in want})
+    assert decontaminate.decontaminate(empty, b).count() == 0 and decontaminate.decontaminate(docs, b.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("frequent,very", [(64, 2048), (2, 4)])
+def test_jaccard(spark, empty, frequent, very):
+    r = random.Random(1)
+    base = [[r.choice("abcdefghij") + r.choice("klmnop") for _ in range(60)] for _ in range(4)]
+    rows = []
+    for i in range(60):
+        w = list(base[i % 4])
+        for _ in range(r.randrange(0, 9)):
+            w[r.randrange(60)] = r.choice("xyz") + str(r.randrange(50))
+        rows.append((i, " ".join(w)))
+    rows += [(70, "one"), (71, "One!"), (72, ""), (73, None), (None, rows[0][1])]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    own = {i: sets(t) for i, t in rows if i is not None and t}
+    want = {(a, b, len(own[a] & own[b]), len(own[a] | own[b])) for a, b in itertools.combinations(sorted(own), 2) if own[a] and own[b] and len(own[a] & own[b]) >= 0.7 * len(own[a] | own[b])}
+    assert {tuple(x) for x in jaccard_join.jaccard_join(d, frequent=frequent, very=very).collect()} == want
+    top = {i: i for i in own}
+    for a, b, *_ in sorted(want):
+        top = {k: min(top[a], top[b]) if v in (top[a], top[b]) else v for k, v in top.items()}
+    kept = jaccard_join.deduplicate(d, frequent=frequent, very=very).collect()
+    assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == sorted([72, 73] + [k for k, v in top.items() if k == v])
+    assert jaccard_join.jaccard_join(empty).count() == 0
+
+
+def test_sketches_never_exceed():
+    r = np.random.default_rng(2)
+    grams = [r.choice(np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), n, replace=False) for n in (50, 60, 64, 65, 90, 100)]
+    s = jaccard_join.Sketches([jaccard_join.sketch(g) for g in grams])
+    for i, j in itertools.product(range(6), repeat=2):
+        assert s.apart(i, np.array([j]))[0] <= len(set(grams[i].tolist()) ^ set(grams[j].tolist()))
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_permutation(n):
+    assert sorted(mixing.permute(np.arange(n), n, 99)) == list(range(n))
+
+
+def test_mix(docs, empty):
+    got = mixing.mix(docs, block=32, shard=4, weights={"s0": 3, "s1": 1}, slots=40).collect()
+    assert len(got) == 40 and len({(r["shard"], r["slot"]) for r in got}) == 40 and {r["source"] for r in got} == {"s0", "s1"}
+    want = np.zeros(2, int)
+    for j in range(10):
+        want += mixing.draw(j, 4, np.array([0.75, 0.25]), mixing.SEED)
+    assert [sum(r["source"] == s for r in got) for s in ("s0", "s1")] == want.tolist()
+    d = mixing.mixed_documents(docs, block=32)
+    assert d.columns == docs.columns and d.count() > 0 and mixing.mix(empty).count() == 0
+
+
+def test_neighbours(spark):
+    x = np.random.default_rng(0).normal(size=(600, 8)).astype("f4")
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [1.0]), (None, x[0].tolist()), (3, x[3].tolist())]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = ann.neighbours(v, 5, leaf=32).collect()
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, j) for i in range(600) for j in np.argsort(d[i])[:5]}
+    assert len(got) == 3000 and len({(r["vec_id"], r["neighbour"]) for r in got} & want) >= 0.9 * len(want)
+    assert ann.neighbours(v.limit(0)).count() == 0
+
+
+def test_url_rules(spark):
+    r = random.Random(3)
+    pages, labels = [], []
+    for i in range(300):
+        spam = r.random() < 0.3
+        pages.append((i, f"https://{'spam' if spam else 'ok'}{r.randrange(3)}.example.org/{'x' if spam else 'y'}/{i}?a={i % 2}"))
+        labels.append((i, int(not (spam and i % 2)), 0))
+    pages += [(400, None), (401, ""), (None, pages[0][1])]
+    p, lab = spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    toks = {x["page_id"]: set(x["t"]) for x in p.select("page_id", url_rules.tokens(p["url"]).alias("t")).collect() if x["page_id"] is not None}
+    bad = {i for i, q, _ in labels if q == 0}
+    found = url_rules.mine(url_rules._labelled(p.select("page_id", url_rules.tokens(p["url"]).alias("tokens")), lab).distinct(), 0.01)
+    assert found
+    for rule, conf, n in found:
+        have = {i for i in range(300) if set(rule) <= toks[i]}
+        assert n == len(have & bad) >= 3 and conf == pytest.approx(n / len(have)) and conf >= 0.5
+    singles = {t for t in set().union(*toks.values()) if len(b := {i for i in range(300) if t in toks[i]}) and len(b & bad) >= max(3, 0.01 * 300) and len(b & bad) >= 0.5 * len(b)}
+    assert all(any(set(rule) <= toks[i] for rule, *_ in found) for i in range(300) if toks[i] & singles)
+    got = {x["page_id"]: x for x in url_rules.url_rules(p, lab, 0.01).collect()}
+    assert all(got[i]["blocked"] == any(set(rule) <= toks[i] for rule, *_ in found) for i in toks)
+    assert not got[400]["blocked"] and not url_rules.url_rules(p, lab.limit(0)).where("blocked").count()
+
+
+def test_licenses(spark, empty):
+    mit = license_scan.TEMPLATES["MIT"]
+    noise = "lorem ipsum dolor the of under and " * 200
+    rows = [(1, noise + mit[0] + ". " + noise), (2, f"{mit[0]}. {mit[0]}. {mit[0]}."), (3, noise), (4, None), (5, ""), (6, mit[1].replace("publish,", "print,"))]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(got) == {1, 2, 6} and got[1]["coverage"] == 1.0 and got[1]["first_word"] == len(words(noise)) and 0.95 < got[6]["coverage"] < 1
+    assert license_scan.license_scan(empty).count() == 0
+
+
+def test_patience_is_increasing_and_equal():
+    r = random.Random(0)
+    for _ in range(50):
+        a, b = ([r.randrange(12) for _ in range(r.randrange(0, 30))] for _ in range(2))
+        p = license_scan.patience(a, b)
+        assert all(a[i] == b[j] for i, j in p) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(p, p[1:]))
+    a = list(range(20))
+    assert len(license_scan.patience(a, a[:5] + [99] + a[5:])) == 20
+
+
+def test_lm(docs, empty):
+    got = lm_score.lm_score(docs).collect()
+    other = {(r["doc_id"], round(r["log_prob"], 6)) for r in lm_score.lm_score(docs, limit=0).collect()}
+    assert {(r["doc_id"], round(r["log_prob"], 6)) for r in got} == other and len(got) == len(corpus())
+    assert all((r["perplexity"] is None) == (r["n_tokens"] == 0) for r in got)
+    types = lm_score.pairs(docs)
+    m = lm_score.fit(types, tokens.encoder().size + 1)
+    p = {r["code"]: r["logp"] for r in lm_score.predictions(types, m).collect()}
+    u = next(iter(p)) >> 16
+    every = np.array([u << 16 | w for w in range(tokens.encoder().size + 1)], np.uint32)
+    prob = m.unseen(every)
+    for c, lp in p.items():
+        if c >> 16 == u:
+            prob[c & 0xFFFF] = np.exp(lp)
+    assert prob.sum() == pytest.approx(1, abs=1e-6)
+    assert lm_score.lm_score(empty).count() == 0
+
+
+def test_edits(spark, empty):
+    enc = tokens.encoder()
+    r, counts = random.Random(4), edit_counts.PieceCounts(tokens.encoder())
+    for _ in range(40):
+        text = "".join(r.choice(["ab", " ", "  ", "'", "ll", "1", "\n", "é", "!?"]) for _ in range(r.randrange(0, 600)))
+        tree = edit_counts.Tree(text, counts)
+        for _ in range(6):
+            a = r.randrange(0, len(text) + 3)
+            z, new = a + r.randrange(0, 20), "".join(r.choice([" ", "x", "'ll", "2", "\n"]) for _ in range(r.randrange(0, 8)))
+            tree.edit(a, z, new)
+            a, z = min(a, len(text)), min(z, len(text))
+            text = text[:a] + new + text[z:]
+            assert tree.text == text and tree.n_tokens == len(enc.plain.encode_ordinary(text))
+    d = spark.createDataFrame([(1, "mail me@example.com now"), (2, None)], "doc_id bigint, text string")
+    got = {x["doc_id"]: x for x in edit_counts.edited_counts(d).collect()}
+    assert got[1]["tokens_after"] == len(enc.plain.encode_ordinary("mail <email> now")) and got[2]["tokens_after"] == 0
+    assert edit_counts.edited_counts(empty).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert got.count() > 0 and got.columns == ["doc_id", "n_tokens", "control", "data", "n_vocab"]
