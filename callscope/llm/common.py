@@ -17,7 +17,7 @@ DELIMS = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 9
 _TO_SPACE = bytes(32 if b in DELIMS else b for b in range(256))
 #: The same words in DuckDB SQL, given a column of text.
 WORDS_SQL = r"regexp_extract_all(lower({0}), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')"
-MEMO_LIMIT = 1_000_000
+MEMO_LIMIT = 200_000
 
 
 class _WordHash(dict):
@@ -77,7 +77,7 @@ def kgrams(h: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return g[at], at
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about limit bytes of the column, so that no worker holds much at once."""
     for b in batches:
         c = b.column(b.schema.get_field_index(column))

@@ -137,7 +137,28 @@ def _shuffled(docs: DataFrame, items: DataFrame, k: int, w: int) -> DataFrame:
     return both.mapInArrow(rows, OUT)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """The documents that share no run with the benchmark; rows with a null id stay."""
-    hit = decontaminate(docs, benchmark, **kw).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, shared_limit: int = SHARED_LIMIT) -> DataFrame:
+    """The rows whose text shares no run with the benchmark, with all their columns; each row is judged by its own text.
+
+    With a benchmark of at most shared_limit words the rows are filtered where they are read; else by hash of the text.
+    """
+    name = next((c for c in docs.columns if c.lower() == "text"), None)
+    if name is None:
+        return docs
+    items = pick(benchmark, item_id="bigint", text="string").where("item_id is not null and text is not null").dropDuplicates()
+    if items.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] / 2 > shared_limit:
+        own = F.xxhash64(F.col(f"`{name}`"))
+        texts = docs.select(own.alias("doc_id"), F.col(f"`{name}`").alias("text")).dropDuplicates(["doc_id"])
+        hit = decontaminate(texts, benchmark, k, window, shared_limit).select(F.col("doc_id").alias("_hash")).distinct()
+        return docs.join(hit, own == F.col("_hash"), "left_anti")
+    got = items.orderBy("item_id", "text").collect()
+    shared = docs.sparkSession.sparkContext.broadcast(([r[0] for r in got], [r[1] for r in got]))
+
+    def rows(batches):
+        index = Index(*shared.value, k, window)
+        for b in small_batches(batches, name):
+            keep = np.ones(b.num_rows, bool)
+            keep[index.hits(*word_hashes(column(b, name)))[0]] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(rows, docs.schema)

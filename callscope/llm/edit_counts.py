@@ -13,7 +13,7 @@ from .tokens import PATTERN, TOKENIZER, encoder
 LEAF = 64  # pre-tokens of a leaf as it is built; a leaf of twice as many is still one
 CONTEXT = 3  # a pre-token is settled by its own characters and so many after it ("'ll" is the longest that is looked for)
 _PIECES = regex.compile(PATTERN)
-MEMO_LIMIT = 500_000
+MEMO_LIMIT = 200_000
 
 #: Personal data and secrets that a scrub replaces, in order of precedence.
 SCRUB = regex.compile(

@@ -24,7 +24,8 @@ N, THRESHOLD = 2, 0.7
 FREQUENT, VERY_FREQUENT = 64, 2048  # documents from which grams count in twos, and in threes
 FREQUENT_LIMIT = 4_000_000  # frequent grams that are broadcast; more of them, and the bound for being frequent is doubled
 SLOT_BITS = 25  # counts of grams by so many upper bits of their hash; of several grams in a slot the highest counts
-ROUND = 4_000_000  # grams gathered by a task before it hands them on
+SENT = 2_000_000  # ids that are broadcast
+ROUND = 2_000_000  # grams gathered by a task before it hands them on
 
 
 def gram_sets(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -464,6 +465,9 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, frequent:
 
 
 def deduplicate(docs: DataFrame, **kw) -> DataFrame:
-    """The documents without those that a chain of pairs leads from to a document of a lower id. Null ids stay."""
-    gone = groups(docs, **kw).where("first <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without those that a chain of pairs leads from to a document of a lower id. Null ids stay.
+
+    Up to SENT ids of what goes are sent to all executors; with more, both sides are shuffled.
+    """
+    gone = written(groups(docs, **kw).where("first <> doc_id").select("doc_id").distinct(), "near-gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= SENT else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -18,7 +18,7 @@ HIDDEN, MAX_BYTES = 8, 32
 TRAIN_DOCS, TRAIN_WORDS = 800, 24_000  # bounds of the labelled sample that the network is fitted on
 EPOCHS, BATCH, RATE = 5, 256, 0.01
 MIN_PROB = 0.4  # mean over all bytes; an even guess among four languages is 0.25
-MEMO_LIMIT = 800_000
+MEMO_LIMIT = 200_000
 
 
 def _sig(x):
@@ -257,7 +257,7 @@ def identify(docs: DataFrame, model: BiGRU | None = None, min_prob: float = MIN_
         net = BiGRU(labels, hidden)
         net.w = w
         reader = Reader(net)
-        for b in small_batches(batches, limit=12 << 20):
+        for b in small_batches(batches, limit=4 << 20):
             probs, marks = reader.read(column(b, "text"))
             best = probs.argmax(1)
             top = probs[np.arange(len(best)), best]
@@ -290,7 +290,7 @@ def accepted(docs: DataFrame, min_prob: float = MIN_PROB, model: BiGRU | None =
         net = BiGRU(labels, hidden)
         net.w = w
         reader = Reader(net)
-        for b in small_batches(batches, name, 12 << 20):
+        for b in small_batches(batches, name, 4 << 20):
             yield b.filter(pa.array(reader.read(column(b, name))[0].max(1) >= min_prob))
 
     return docs.mapInArrow(rows, docs.schema)
