@@ -1,8 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained here in numpy.
 
-The network reads a word at a time (with the space before it; long ones in pieces of MAX_BYTES) and starts anew at the next:
-what it says of a word depends on nothing else, so each distinct word is computed once by a worker and remembered.
-Every byte gets a label; a document's probabilities are the mean of its bytes'.
+Both states run through the whole text: what the network says of a byte depends on all bytes before and after it. It is
+trained on spans of several words, half of them of two languages. Every byte gets a label; a document's probabilities are
+the mean of its bytes'.
 """
 
 from __future__ import annotations
@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from .common import column, pick, sample_ids, small_batches
 
-HIDDEN, MAX_BYTES = 8, 32
-TRAIN_DOCS, TRAIN_WORDS = 800, 24_000  # bounds of the labelled sample that the network is fitted on
-EPOCHS, BATCH, RATE = 5, 256, 0.01
+HIDDEN = 8
+TRAIN_DOCS, TRAIN_SPANS, SPAN = 800, 2400, 96  # bounds of the labelled sample that the network is fitted on; characters
+EPOCHS, BATCH, RATE = 5, 32, 0.01
 MIN_PROB = 0.4  # mean over all bytes; an even guess among four languages is 0.25
-MEMO_LIMIT = 200_000
+CELLS = 12 << 20  # bytes times labels that are worked on at once
 
 
 def _sig(x):
@@ -26,7 +26,7 @@ def _sig(x):
 
 
 class BiGRU:
-    """Weights and passes of the network. Words are rows of bytes, padded, sorted by falling length."""
+    """Weights and passes of the network. Spans are rows of bytes, padded, sorted by falling length."""
 
     def __init__(self, labels: list[str], hidden: int = HIDDEN, seed: int = 0):
         r = np.random.default_rng(seed)
@@ -59,37 +59,80 @@ class BiGRU:
             out[np.arange(live), at] = new
         return out, saved
 
-    def probs(self, x):
-        """(steps, words, labels) of words of one length, given as (words, steps)."""
-        h, xt = self.hidden, np.ascontiguousarray(x.T)
-        steps, rows = xt.shape
-        s = np.empty((steps, rows, len(self.labels)), "f4")
-        s[:] = self.w["v"]
-        for d, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
-            E, U, V = (self.w[k + d] for k in "EUV")
-            state = np.zeros((rows, h), "f4")
-            for t in order:
-                e, u = E.take(xt[t], 0), state @ U
-                g = e[:, : 2 * h] + u[:, : 2 * h]
-                g *= 0.5
-                np.tanh(g, out=g)
-                g *= 0.5
-                g += 0.5
-                q = g[:, :h] * u[:, 2 * h :]
-                q += e[:, 2 * h :]
-                np.tanh(q, out=q)
-                state -= q
-                state *= g[:, h:]
-                state += q
-                s[t] += state @ V
-        s -= s.max(-1, keepdims=True)
+    def steps(self, dirs: str, x: np.ndarray, live: np.ndarray, state: np.ndarray, keep: bool = True):
+        """Last states, and the labels' scores at each cell, of packed bytes (directions, cells): live[t] rows at step t.
+
+        Rows lie last in all arrays, so that numpy's loops are long: states are (hidden, directions, rows).
+        """
+        h = self.hidden
+        E = np.concatenate([self.w["E" + d] for d in dirs]).T.copy()
+        U, V = (np.stack([self.w[k + d].T for d in dirs]) for k in "UV")
+        x = x + 256 * np.arange(len(dirs))[:, None]
+        s = np.empty((len(dirs), V.shape[1], x.shape[1]), "f4") if keep else None
+        state, at = state.copy(), 0
+        for n in live.tolist():
+            state = state[..., :n]
+            e = E.take(x[:, at : at + n], 1)
+            u = np.matmul(U, state.transpose(1, 0, 2)).transpose(1, 0, 2)
+            g = e[: 2 * h]
+            g += u[: 2 * h]
+            g *= 0.5
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            q = g[:h] * u[2 * h :]
+            q += e[2 * h :]
+            np.tanh(q, out=q)
+            state -= q
+            state *= g[h:]
+            state += q
+            if keep:
+                s[..., at : at + n] = np.matmul(V, state.transpose(1, 0, 2))
+            at += n
+        return state, s
+
+    def _shares(self, s: np.ndarray) -> np.ndarray:
+        """(cells, labels) of scores (labels, cells)."""
+        s += self.w["v"][:, None]
+        s -= s.max(0)
         np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
-        return s
+        s /= s.sum(0)
+        return s.T
+
+    def probs(self, texts: list[bytes]) -> np.ndarray:
+        """(bytes, labels) of texts that are not empty, one after the other; all texts go through the network together."""
+        n = np.array(list(map(len, texts)))
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(n))
+        live = np.searchsorted(-n[order], -np.arange(n.max()), "left")  # rows longer than t
+        before = np.cumsum(live) - live
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        row, step = np.repeat(rank, n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+        f, b = before[step] + row, before[np.repeat(n, n) - 1 - step] + row
+        x = np.empty((2, len(flat)), np.intp)
+        x[0, f], x[1, b] = flat, flat
+        s = self.steps("fb", x, live, np.zeros((self.hidden, 2, len(n)), "f4"))[1]
+        return self._shares(s[0].take(f, 1) + s[1].take(b, 1))
+
+    def long_probs(self, text: bytes, room: int):
+        """The same of one text in runs of room bytes, last run first; states are carried over from run to run."""
+        runs = [np.frombuffer(text[a : a + room], np.uint8).astype(np.intp)[None] for a in range(0, len(text), room)]
+        zero = np.zeros((self.hidden, 1, 1), "f4")
+        fore, back = [zero], zero
+        for x in runs[:-1]:
+            fore.append(self.steps("f", x, np.ones(x.shape[1], int), fore[-1], False)[0])
+        for x, state in zip(runs[::-1], fore[::-1]):
+            one = np.ones(x.shape[1], int)
+            s = self.steps("f", x, one, state)[1][0]
+            back, t = self.steps("b", x[:, ::-1], one, back)
+            yield self._shares(s + t[0][:, ::-1])
 
     def gradients(self, x, n, y):
-        """Loss (mean cross entropy of the bytes) and gradients, by backpropagation through time."""
+        """Loss (mean cross entropy of the bytes) and gradients, by backpropagation through time. y: a label a row, or a byte."""
         w, h = self.w, self.hidden
+        y = np.broadcast_to(y if y.ndim > 1 else y[:, None], x.shape)
+        cell = np.arange(x.shape[0])[:, None], np.arange(x.shape[1]), y
         outs, tapes = {}, {}
         for d in "fb":
             outs[d], tapes[d] = self._run(x, n, d, True)
@@ -99,9 +142,9 @@ class BiGRU:
         p /= p.sum(-1, keepdims=True)
         mask = np.arange(x.shape[1]) < n[:, None]
         total = mask.sum()
-        loss = -np.log(np.maximum(p[np.arange(len(y))[:, None], np.arange(x.shape[1]), y[:, None]], 1e-9))[mask].sum() / total
+        loss = -np.log(np.maximum(p[cell], 1e-9))[mask].sum() / total
         ds = p.copy()
-        ds[np.arange(len(y)), :, y] -= 1
+        ds[cell] -= 1
         ds *= mask[:, :, None] / np.float32(total)
         g = {"v": ds.sum((0, 1))}
         for d in "fb":
@@ -122,19 +165,22 @@ class BiGRU:
             g["E" + d], g["U" + d] = gE, gU
         return loss, g
 
-    def fit(self, words: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 0):
+    def fit(self, spans: list[bytes], y: list[np.ndarray], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 0):
         r = np.random.default_rng(seed)
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         step = 0
-        size = np.array([len(w) for w in words])
+        size = np.array([len(w) for w in spans])
         for epoch in range(epochs):
-            o = r.permutation(len(words))
-            o = o[np.argsort(size[o] // 3, kind="stable")]  # words of like length together
+            o = r.permutation(len(spans))
+            o = o[np.argsort(size[o] // 3, kind="stable")]  # spans of like length together
             cuts = [o[a : a + batch] for a in range(0, len(o), batch)]
             for i in r.permutation(len(cuts)):
                 pickd = cuts[i][np.argsort(-size[cuts[i]], kind="stable")]
-                x, n = padded([words[j] for j in pickd])
-                _, g = self.gradients(x, n, y[pickd])
+                x, n = padded([spans[j] for j in pickd])
+                marks = np.zeros(x.shape, int)
+                for k, j in enumerate(pickd):
+                    marks[k, : n[k]] = y[j]
+                _, g = self.gradients(x, n, marks)
                 step += 1
                 lr = rate * (1 - 0.9 * epoch / epochs)
                 for k, v in self.w.items():
@@ -151,93 +197,71 @@ def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width).astype(np.intp), n
 
 
-def parts(word: str) -> list[bytes]:
-    """A word as the network reads it, with the space before it; long ones in pieces."""
-    w = b" " + word.encode("utf-8", "replace")
-    return [w] if len(w) <= MAX_BYTES else [w[i : i + MAX_BYTES] for i in range(0, len(w), MAX_BYTES)]
-
-
 class Reader:
-    """The network over chunks, with a bounded memo."""
+    """The network over whole texts."""
 
     def __init__(self, model: BiGRU):
         self.model = model
-        self.forget()
-
-    def forget(self):
-        self.place: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(self.model.labels)), "f4")
-        self.marks: list[bytes] = []
-
-    def compute(self, pieces: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """Sums of probabilities, and labels, of pieces; those of one length go through the network together."""
-        sums, marks = np.zeros((len(pieces), len(self.model.labels)), "f4"), [b""] * len(pieces)
-        size = np.array(list(map(len, pieces)))
-        order = np.argsort(size, kind="stable")
-        edges = np.flatnonzero(np.diff(size[order])) + 1
-        for same in np.split(order, edges) if len(order) else []:
-            n = int(size[same[0]])
-            for at in np.split(same, range(2048, len(same), 2048)):
-                p = self.model.probs(np.frombuffer(b"".join([pieces[i] for i in at]), np.uint8).reshape(len(at), n))
-                best = np.ascontiguousarray(p.argmax(-1).astype(np.uint8).T).tobytes()
-                sums[at] = p.sum(0)
-                for j, i in enumerate(at.tolist()):
-                    marks[i] = best[j * n : (j + 1) * n]
-        return sums, marks
-
-    def learn(self, new: list[str]):
-        cut = [parts(w) for w in new]
-        sums, marks = self.compute([x for c in cut for x in c])
-        k = len(self.marks)
-        while len(self.sums) < k + len(new):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        if len(marks) == len(new):
-            self.sums[k : k + len(new)] = sums
-            self.marks += marks
-        else:
-            first = np.cumsum([0, *map(len, cut)])
-            self.sums[k : k + len(new)] = np.add.reduceat(sums, first[:-1])
-            self.marks += [b"".join(marks[a:z]) for a, z in zip(first, first[1:])]
-        self.place.update(zip(new, range(k, k + len(new))))
+        self.room = max(1 << 16, CELLS // len(model.labels))  # bytes
 
     def read(self, texts: list) -> tuple[np.ndarray, list[bytes]]:
-        """Mean probabilities of each text (zeros if it is empty), and the label number of each of its bytes.
+        """Mean probabilities of each text (zeros if it is empty), and the label number of each of its bytes."""
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        means, labels = np.zeros((len(raw), len(self.model.labels))), [b""] * len(raw)
+        short = [i for i, t in enumerate(raw) if 0 < len(t) <= self.room]
+        if short:
+            p = self.model.probs([raw[i] for i in short])
+            n = np.array([len(raw[i]) for i in short])
+            first = np.cumsum(n) - n
+            means[short] = np.add.reduceat(p, first, 0, dtype=np.float64) / n[:, None]
+            best = p.argmax(-1).astype(np.uint8).tobytes()
+            for i, a, z in zip(short, first.tolist(), (first + n).tolist()):
+                labels[i] = best[a:z]
+        for i, t in enumerate(raw):
+            if len(t) > self.room:
+                marks = []
+                for p in self.model.long_probs(t, self.room):
+                    means[i] += p.sum(0, dtype=np.float64) / len(t)
+                    marks.append(p.argmax(-1).astype(np.uint8).tobytes())
+                labels[i] = b"".join(marks[::-1])
+        return means, labels
+
+
+def spans(texts: list[list[str]], n: int, r: np.random.Generator) -> tuple[list[bytes], list[np.ndarray]]:
+    """n spans of the languages' texts, each language as often, and the labels of their bytes; every other span has two halves.
+
+    A span begins after a space if there is one near, and never inside a character.
+    """
 
-        A text is read as if a space stood before it.
-        """
-        own = [t.split(" ") if t else [] for t in texts]
-        distinct = set().union(*own)
-        new = [w for w in distinct if w not in self.place]
-        if len(self.place) + len(new) > MEMO_LIMIT:
-            self.forget()
-            new = list(distinct)
-        if new:
-            self.learn(new)
-        probs, labels = np.zeros((len(texts), len(self.model.labels))), []
-        for i, w in enumerate(own):
-            at = list(map(self.place.__getitem__, w))
-            marks = b"".join(map(self.marks.__getitem__, at))
-            labels.append(marks[1:])
-            if at:
-                probs[i] = self.sums[at].sum(0, dtype=np.float64) / len(marks)
-        return probs, labels
-
-
-def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_words: int = TRAIN_WORDS, hidden: int = HIDDEN, epochs: int = EPOCHS) -> BiGRU:
-    """A network fitted to words of at most max_docs documents that carry a language, those of the least hashed ids."""
+    def piece(k: int, size: int) -> bytes:
+        t = texts[k][r.integers(len(texts[k]))]
+        a = int(r.integers(max(1, len(t) - size)))
+        space = t.find(" ", a, a + size // 2) if a else -1
+        return t[space + 1 if space >= 0 else a :][:size].encode("utf-8", "replace")
+
+    out, y = [], []
+    for i in range(n):
+        cut = [(i % len(texts), SPAN)] if i // len(texts) % 2 else [(i % len(texts), SPAN // 2), (int(r.integers(len(texts))), SPAN // 2)]
+        got = [(k, piece(k, size)) for k, size in cut]
+        out.append(b" ".join(p for _, p in got))
+        y.append(np.concatenate([np.full(len(p) + (j > 0), k) for j, (k, p) in enumerate(got)]))
+    return out, y
+
+
+def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_spans: int = TRAIN_SPANS, hidden: int = HIDDEN, epochs: int = EPOCHS) -> BiGRU:
+    """A network fitted to spans of at most max_docs documents that carry a language, those of the least hashed ids."""
     docs = pick(docs, doc_id="bigint", text="string", lang="string")
     ids = sample_ids(docs.select("doc_id", "lang").where("lang is not null and doc_id is not null"), max_docs)
     rows = sorted(docs.where(F.col("doc_id").isin(ids)).where("text is not null and lang is not null").collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"])) if ids else []
     labels = sorted({r["lang"] for r in rows}) or ["und"]
-    r = np.random.default_rng(1)
-    words, y = [], []
-    for k, lab in enumerate(labels):
-        own = [p for row in rows if row["lang"] == lab for w in row["text"].split(" ") for p in parts(w) if len(p) > 1]
-        take = r.permutation(len(own))[: max_words // len(labels)]
-        words += [own[i] for i in take]
-        y += [k] * len(take)
     model = BiGRU(labels, hidden)
-    return model.fit(words, np.array(y), epochs) if words else model
+    texts = [(k, [r["text"] for r in rows if r["lang"] == lab and r["text"]]) for k, lab in enumerate(labels)]
+    texts = [(k, t) for k, t in texts if t]
+    if not texts:
+        return model
+    cut, y = spans([t for _, t in texts], max_spans, np.random.default_rng(1))
+    number = np.array([k for k, _ in texts])
+    return model.fit(cut, [number[v] for v in y], epochs)
 
 
 def identify(docs: DataFrame, model: BiGRU | None = None, min_prob: float = MIN_PROB) -> DataFrame:
@@ -257,7 +281,7 @@ def identify(docs: DataFrame, model: BiGRU | None = None, min_prob: float = MIN_
         net = BiGRU(labels, hidden)
         net.w = w
         reader = Reader(net)
-        for b in small_batches(batches, limit=4 << 20):
+        for b in small_batches(batches, limit=reader.room):
             probs, marks = reader.read(column(b, "text"))
             best = probs.argmax(1)
             top = probs[np.arange(len(best)), best]
@@ -290,7 +314,7 @@ def accepted(docs: DataFrame, min_prob: float = MIN_PROB, model: BiGRU | None =
         net = BiGRU(labels, hidden)
         net.w = w
         reader = Reader(net)
-        for b in small_batches(batches, name, 4 << 20):
+        for b in small_batches(batches, name, reader.room):
             yield b.filter(pa.array(reader.read(column(b, name))[0].max(1) >= min_prob))
 
     return docs.mapInArrow(rows, docs.schema)

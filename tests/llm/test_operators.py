@@ -96,6 +96,37 @@ def test_language(spark, docs, empty):
     assert language_id.accepted(docs, model=model).columns == docs.columns
 
 
+def test_language_reads_the_whole_text(spark):
+    m = language_id.BiGRU(["a", "b", "c"], 4, seed=3)
+    texts = ["the word and so on " * 9, "é" * 70 + "x", "", "word", "so word on"]
+    reader = language_id.Reader(m)
+    raw = sorted((t.encode() for t in texts if t), key=len, reverse=True)
+    x, n = language_id.padded(raw)
+    s = sum(m._run(x, n, d, False)[0] @ m.w["V" + d] for d in "fb") + m.w["v"]
+    p = np.exp(s) / np.exp(s).sum(-1, keepdims=True)
+    want = {t: p[i, : n[i]] for i, t in enumerate(raw)}
+    means, labels = reader.read(texts)
+    reader.room = 13
+    cut, cut_labels = reader.read(texts)
+    for i, t in enumerate(texts):
+        if t:
+            assert means[i] == pytest.approx(want[t.encode()].mean(0), abs=1e-5) and cut[i] == pytest.approx(means[i], abs=1e-5)
+            assert list(labels[i]) == want[t.encode()].argmax(-1).tolist() and cut_labels[i] == labels[i]
+    alone, after = (m.probs([t])[-4:] for t in (b"word", b"so on word"))
+    assert np.abs(alone - after).max() > 1e-4
+
+
+def test_language_by_context(spark):
+    r = random.Random(8)
+    own, both = {"en": ["the", "and"], "de": ["sch", "ung"]}, ["mono", "tal", "rin", "sa"]
+    text = lambda lang, n: " ".join(r.choice(own[lang]) if r.random() < 0.3 else r.choice(both) for _ in range(n))
+    d = spark.createDataFrame([(i, text(g, 60), g) for i, g in enumerate(["en", "de"] * 40)], "doc_id bigint, text string, lang string")
+    halves = text("en", 40), text("de", 40)
+    marks = language_id.Reader(language_id.train(d)).read([" ".join(halves)])[1][0]
+    cut = len(halves[0])
+    assert marks[:cut].count(1) > 0.8 * cut and marks[cut:].count(0) > 0.8 * (len(marks) - cut)
+
+
 def runs(a, b, least):
     out = set()
     for i, j in itertools.product(range(len(a)), range(len(b))):
