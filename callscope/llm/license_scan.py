@@ -92,23 +92,26 @@ class Scanner:
         self.need = np.array([int(np.ceil(min_coverage * len(t) - 1e-9)) for t in self.lists], np.int64)
 
     def scan(self, text: str | None) -> list[tuple[str, float, float, int, int]]:
-        """(license, coverage, density, first word, words) of each license that is found, at its best place."""
+        """(license, coverage, density, first word, words) of each license that is found, at the best place left to it."""
         if not text or not self.lists:
             return []
         w = words(text)
         ids = np.fromiter((self.number.get(x, -1) for x in w), np.int64, len(w))
         there = np.bincount(ids[ids >= 0], minlength=len(self.number))
-        best: dict[str, tuple] = {}
+        places = set()
         for k in np.flatnonzero(np.minimum(there, self.counts).sum(1) >= self.need).tolist():
-            for got in self._windows(ids, k):
-                key = (-got[0] * got[1], -got[3], got[2])
-                if self.names[k] not in best or key < best[self.names[k]][0]:
-                    best[self.names[k]] = (key, got)
-        out: list[tuple] = []
-        for name, (_, got) in sorted(best.items(), key=lambda x: (x[1][0], x[0])):
-            if all(got[2] >= r[3] + r[4] or got[2] + got[3] <= r[3] for r in out):
-                out.append((name, *got))
-        return sorted(out)
+            places.update((-got[0] * got[1], -got[3], got[2], self.names[k], got) for got in self._windows(ids, k))
+        starts: list[int] = []
+        ends: list[int] = []
+        out: dict[str, tuple] = {}
+        for *_, name, got in sorted(places):
+            i = bisect_left(starts, got[2])
+            if (i and ends[i - 1] > got[2]) or (i < len(starts) and starts[i] < got[2] + got[3]):
+                continue
+            starts.insert(i, got[2])
+            ends.insert(i, got[2] + got[3])
+            out.setdefault(name, (name, *got))
+        return sorted(out.values())
 
     def _windows(self, ids: np.ndarray, k: int):
         t, need = self.lists[k], int(self.need[k])
@@ -134,8 +137,8 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     """One row for each license found in a document: doc_id, license, coverage, density, first_word, n_words.
 
     coverage is the share of the template's words that are aligned, density the share of aligned words in the run of the
-    text (first_word, from 0, and n_words) that they lie in. Of several templates or places, that of the greatest product
-    of both counts, then the longest, then the first; of licenses at overlapping places likewise. Words are lower-cased and punctuation is ignored. Null and empty texts give no
+    text (first_word, from 0, and n_words) that they lie in. Of all places of all templates that overlap, that of the greatest
+    product of both counts, then the longest, then the first; of a license's places that are left likewise. Words are lower-cased and punctuation is ignored. Null and empty texts give no
     rows; repeated rows give their rows each; null ids are kept; other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)

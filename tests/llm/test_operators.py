@@ -242,6 +242,15 @@ def test_licenses(spark, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_licenses_have_second_places():
+    line = "This work is licensed under a Creative Commons Attribution {}4.0 International License"
+    templates = {"BY": [line.format("")], "SA": [line.format("ShareAlike ")]}
+    noise = " lorem ipsum dolor" * 20
+    scanner = license_scan.Scanner(templates, 0.85, 0.6)
+    got = scanner.scan(templates["SA"][0] + noise + " " + line.format("").replace("work", "material"))
+    assert [r[0] for r in got] == ["BY", "SA"] and got[0][3] >= 74 and got[1][3] == 0
+
+
 def test_patience_is_increasing_and_equal():
     r = random.Random(0)
     for _ in range(50):
