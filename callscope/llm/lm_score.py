@@ -25,7 +25,7 @@ BURN_IN, SAMPLES, SEED = 3, 4, 11
 STRENGTH = 1.0
 ROUND = 4_000_000  # tokens counted by a task before it hands its pairs on
 MODEL_LIMIT = 20_000_000  # pairs whose probabilities are broadcast; more are joined
-EXACT = 64  # customers of a dish seated one by one; then the next new table's place is drawn
+EXACT = 64  # customers of a dish seated one by one; then the next new table's place is drawn, from the same distribution
 
 
 def pair_codes(texts: list, enc) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +86,8 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, r: np.random.Generator) -> np.n
     """Tables of each dish after c customers: with n seated at t tables the next opens one with odds a : n - d t.
 
     a is (strength + d tables of the restaurant) times the dish's probability at the parent. After EXACT customers the
-    number seated until the next new table is drawn from its distribution's continuous form.
+    number seated until the next new table is drawn: none of k opens one with probability B(a, x + k) / B(a, x), x = n - d t,
+    which is a geometric draw whose chance is drawn from Beta(a, x).
     """
     t = np.minimum(c, 1)
     live = np.flatnonzero(c > 1)
@@ -100,7 +101,7 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, r: np.random.Generator) -> np.n
     while len(live):
         x = n - d * t[live]
         with np.errstate(over="ignore", divide="ignore"):
-            n = n + np.ceil(np.maximum(x * np.expm1(-np.log(r.random(len(live))) / a[live]), 1e-9))
+            n = n + 1 + np.floor(np.log1p(-r.random(len(live))) / np.log1p(-r.beta(a[live], x)))
         ok = n <= c[live]
         live, n = live[ok], n[ok]
         t[live] += 1

@@ -261,6 +261,17 @@ def test_patience_is_increasing_and_equal():
     assert len(license_scan.patience(a, a[:5] + [99] + a[5:])) == 20
 
 
+@pytest.mark.parametrize("a,c", [(1e-9, 5000), (0.3, 500), (100.0, 1000), (500.0, 1000)])
+def test_seating_is_that_of_one_by_one(a, c):
+    r, d, many = np.random.default_rng(6), 0.7, 400
+    t = np.ones(many)
+    for n in range(1, c):
+        t += r.random(many) * (a + n - d * t) < a
+    got = lm_score.seat(np.full(many, c), np.full(many, a), d, r)
+    assert abs(got.mean() - t.mean()) <= 5 * np.sqrt((got.var() + t.var()) / many)
+    assert 0.7 * t.std() <= got.std() <= 1.4 * t.std()
+
+
 def test_lm(docs, empty):
     got = lm_score.lm_score(docs).collect()
     other = {(r["doc_id"], round(r["log_prob"], 6)) for r in lm_score.lm_score(docs, limit=0).collect()}
