@@ -465,9 +465,18 @@ def groups(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, frequent:
 
 
 def deduplicate(docs: DataFrame, **kw) -> DataFrame:
-    """The documents without those that a chain of pairs leads from to a document of a lower id. Null ids stay.
+    """The documents without those that a chain of pairs leads from to another row of a lower id; null ids come last.
 
-    Up to SENT ids of what goes are sent to all executors; with more, both sides are shuffled.
+    Documents are rows: of repeated rows one stays, and of several texts with one id each is judged by itself. Rows are
+    numbered in a written copy, so that a number is always the same row's. Null texts and texts without words stay. Up to
+    SENT numbers of what goes are sent to all executors; with more, both sides are shuffled.
     """
-    gone = written(groups(docs, **kw).where("first <> doc_id").select("doc_id").distinct(), "near-gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= SENT else gone, "doc_id", "left_anti").select(*docs.columns)
+    name, key = next((c for c in docs.columns if c.lower() == "doc_id"), None), "_row"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "near-rows")
+    text = pick(rows, **{key: "bigint", "text": "string"}).withColumnRenamed(key, "doc_id")
+    member = written(groups(text, **kw).toDF(key, "first"), "near-members")
+    ids = rows.select(key, (F.col(f"`{name}`") if name else F.lit(None)).cast("bigint").alias("id"))
+    own = member.join(ids, key).select(key, "first", F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(key).alias("row")).alias("at"))
+    kept = own.groupBy("first").agg(F.min("at").alias("at")).select(F.col("at.row").alias(key))
+    gone = written(member.select(key).join(kept, key, "left_anti"), "near-gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= SENT else gone, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -174,6 +174,14 @@ def test_jaccard(spark, empty, frequent, very):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+def test_deduplicate_rows(spark):
+    r = random.Random(9)
+    a, b, c = (" ".join(r.choice("abcdefgh") + str(r.randrange(90)) for _ in range(50)) for _ in range(3))
+    rows = [(5, a), (5, a), (None, a), (7, b), (7, c), (3, b + " more"), (None, None), (None, None)]
+    got = jaccard_join.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, a), (7, c), (3, b + " more"), (None, None), (None, None)]))
+
+
 def test_sketches_never_exceed():
     r = np.random.default_rng(2)
     grams = [r.choice(np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), n, replace=False) for n in (50, 60, 64, 65, 90, 100)]
