@@ -17,7 +17,8 @@ from .tokens import TOKENIZER, encoder
 
 BLOCK, SHARD, ALPHA, SEED = 1024, 256, 0.5, 20240
 GROUP = 1024  # shards whose counts are summed before they reach the driver
-HELD = 20_000  # sources of which a task keeps a block that is not full
+HELD = 20_000  # sources of which a task keeps a block that is not full; of more, it hands on what it has
+LAST = 2**31 - 1  # the part of blocks made of what tasks have left
 BLOCKS = "source string, part int, seq bigint, lang string, n int, ids binary"
 
 
@@ -47,7 +48,7 @@ def permute(x: np.ndarray, n: int, k: int) -> np.ndarray:
 
 
 class Packer:
-    """Runs of one source's tokens, cut into blocks of a fixed number of slots; what is left of one is filled with end ids.
+    """Runs of one source's tokens, cut into blocks of a fixed number of slots; what is left of one is kept by document.
 
     A block ends a few tokens early where a character would be torn apart.
     """
@@ -58,13 +59,13 @@ class Packer:
         self.held: dict = {}
 
     def add(self, source, lang, ids: np.ndarray):
-        lang0, parts, n = self.held.get(source, (lang, [], 0))
-        parts.append(ids)
+        parts, n = self.held.pop(source, ([], 0))
+        parts.append((lang, ids))
         n += len(ids)
         if n < self.block:
-            self.held[source] = (lang0, parts, n)
+            self.held[source] = (parts, n)
             return
-        flat, at = np.concatenate(parts), 0
+        flat, at, lang0 = np.concatenate([x for _, x in parts]), 0, parts[0][0]
         while len(flat) - at >= self.block:
             end = at + self.block
             for back in range(4):
@@ -73,46 +74,73 @@ class Packer:
                     break
             yield source, lang0, flat[at:end]
             at, lang0 = end, lang
-        self.held[source] = (lang, [flat[at:]], len(flat) - at)
+        if at < len(flat):
+            self.held[source] = ([(lang, flat[at:])], len(flat) - at)
 
     def rest(self):
-        for source, (lang, parts, n) in self.held.items():
-            if n:
-                yield source, lang, np.concatenate(parts)
+        """What is left: (source, lang, ids) of each document in it."""
+        for source, (parts, _) in self.held.items():
+            for lang, ids in parts:
+                yield source, lang, ids
+        self.held = {}
+
+    def last(self):
+        """What is left, a block a source."""
+        for source, (parts, _) in self.held.items():
+            yield source, parts[0][0], np.concatenate([x for _, x in parts])
         self.held = {}
 
 
 def blocks(docs: DataFrame, block: int = BLOCK, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Blocks of each source's documents in the order they are read, each document with an end id after it."""
+    """Blocks of each source's documents in the order they are read, each document with an end id after it.
 
-    def rows(batches):
-        enc = encoder(tokenizer)
-        packer, part, seq = Packer(enc, block), TaskContext.get().partitionId(), {}
-
-        def out(got):
-            source, lang, ids, n, num = [], [], [], [], []
-            for s, g, x in got:
-                source.append(s)
-                lang.append(g)
-                n.append(len(x))
-                ids.append(np.concatenate([x, np.full(block - len(x), enc.end, "<u2")]).astype("<u2").tobytes())
-                num.append(seq.get(s, 0))
-                seq[s] = num[-1] + 1
-            return pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array([part] * len(n), pa.int32()), pa.array(num, pa.int64()), pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(ids, pa.binary())], ["source", "part", "seq", "lang", "n", "ids"])
+    What tasks have left of a source is gathered and packed again, so that one block a source at most is not full.
+    """
 
+    def packed(got, part, seq, enc, full):
+        source, lang, ids, n, num = [], [], [], [], []
+        for s, g, x in got:
+            source.append(s)
+            lang.append(g)
+            n.append(len(x))
+            ids.append((np.concatenate([x, np.full(block - len(x), enc.end, "<u2")]) if full else x).astype("<u2").tobytes())
+            num.append(seq.get(s, 0))
+            seq[s] = num[-1] + 1
+        return pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array([part] * len(n), pa.int32()), pa.array(num, pa.int64()), pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(ids, pa.binary()), pa.array([full] * len(n), pa.bool_())], ["source", "part", "seq", "lang", "n", "ids", "whole"])
+
+    def cut(batches):
+        enc = encoder(tokenizer)
+        packer, part, seq, left = Packer(enc, block), TaskContext.get().partitionId(), {}, {}
         for b in small_batches(batches):
             got = []
             for s, g, t in zip(column(b, "source"), column(b, "lang"), column(b, "text")):
                 if raw := enc.encode(t):
                     got += packer.add(s or "", g, np.append(np.frombuffer(raw, "<u2"), np.uint16(enc.end)))
+            if got:
+                yield packed(got, part, seq, enc, True)
             if len(packer.held) > HELD:
-                got += packer.rest()
+                yield packed(packer.rest(), part, left, enc, False)
+        if packer.held:
+            yield packed(packer.rest(), part, left, enc, False)
+
+    def again(batches):
+        enc = encoder(tokenizer)
+        packer, seq = Packer(enc, block), {}
+        for b in small_batches(batches, "ids"):
+            got = []
+            for s, g, raw in zip(column(b, "source"), column(b, "lang"), column(b, "ids")):
+                if packer.held and s not in packer.held:
+                    got += packer.last()
+                got += packer.add(s, g, np.frombuffer(raw, "<u2"))
             if got:
-                yield out(got)
-        if got := list(packer.rest()):
-            yield out(got)
+                yield packed(got, LAST, seq, enc, True)
+        if packer.held:
+            yield packed(packer.last(), LAST, seq, enc, True)
 
-    return pick(docs, text="string", lang="string", source="string").mapInArrow(rows, BLOCKS)
+    schema = BLOCKS + ", whole boolean"
+    made = written(pick(docs, text="string", lang="string", source="string").mapInArrow(cut, schema), "blocks")
+    left = made.where("not whole").repartition("source").sortWithinPartitions("source", "part", "seq")
+    return made.where("whole").union(written(left.mapInArrow(again, schema), "last-blocks")).drop("whole")
 
 
 def targets(sizes: dict[str, int], weights: dict[str, float] | None, alpha: float) -> list[tuple[str, int, float]]:
@@ -182,10 +210,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     says otherwise. weights maps sources to shares; without, a source weighs its blocks ** alpha. A null source counts as
     the source "". Null and empty texts give no tokens; repeated rows count as often as they occur; other columns are
     ignored; an empty table, or one without weighted sources, gives no rows. A source weighted beyond its blocks repeats
-    them in another order each time around. Blocks are cut in the order rows are read, and written before they are indexed.
+    them in another order each time around. Blocks are cut in the order rows are read, and written before they are indexed; at most
+    one block a source is not full, however the rows are laid out.
     """
     spark = docs.sparkSession
-    made = written(blocks(docs, block, tokenizer), "blocks")
+    made = blocks(docs, block, tokenizer)
     count = made.groupBy("source", "part").count()
     first = count.withColumn("before", F.sum("count").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("source", "part", F.coalesce("before", F.lit(0)).alias("before"))
     sizes = {r[0]: r[1] for r in count.groupBy("source").agg(F.sum("count")).collect()}

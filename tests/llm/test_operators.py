@@ -206,6 +206,23 @@ def test_mix(docs, empty):
     assert d.columns == docs.columns and d.count() > 0 and mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("held", [20_000, 1])
+def test_blocks_are_full_at_any_layout(spark, held, monkeypatch):
+    monkeypatch.setattr(mixing, "HELD", held)
+    enc = tokens.encoder()
+    rows = [(i, prose("en", 20 + i), f"l{i}", f"s{i % 3}", 1) for i in range(30)]
+    d = spark.createDataFrame(rows, DOCS).repartition(10)
+    got = mixing.blocks(d, 64).collect()
+    for s in ("s0", "s1", "s2"):
+        own = [r for r in got if r["source"] == s]
+        texts = sorted(r[1] for r in rows if r[3] == s)
+        assert sum(r["n"] < 61 for r in own) <= 1 and all(len(r["ids"]) == 128 for r in own)
+        assert sum(r["n"] for r in own) == sum(len(enc.plain.encode_ordinary(t)) + 1 for t in texts)
+        assert len({(r["part"], r["seq"]) for r in own}) == len(own)
+    mixed = mixing.mix(d, block=64, weights={"s0": 1}, slots=sum(r["source"] == "s0" for r in got)).collect()
+    assert sorted(r["index"] for r in mixed) == list(range(len(mixed)))
+
+
 def test_neighbours(spark):
     x = np.random.default_rng(0).normal(size=(600, 8)).astype("f4")
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [1.0]), (None, x[0].tolist()), (3, x[3].tolist())]
