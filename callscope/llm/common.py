@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -81,7 +82,7 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text", limit
     """The same rows in batches of about limit bytes of the column, so that no worker holds much at once."""
     for b in batches:
         c = b.column(b.schema.get_field_index(column))
-        size = np.array(pc.binary_length(c).fill_null(0), np.int64)
+        size = np.array(pc.binary_length(c).fill_null(0), np.int64) + 16
         cut = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
         edges = [0, *cut.tolist(), b.num_rows]
         for a, z in zip(edges, edges[1:]):
@@ -103,33 +104,78 @@ def binary_array(flat: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.array([raw[a:z] for a, z in zip(o, o[1:])], pa.binary())
 
 
+_MADE: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir)."""
+    """A fresh path in the folder that all executors share (spark.checkpoint.dir); without that setting an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE[path] = spark
+    return path
+
+
+def kept(spark: SparkSession, name: str) -> str:
+    """The same for a table that is part of a result: it isn't deleted."""
+    path = scratch(spark, name)
+    del _MADE[path]
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows, written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    The shuffle files of the query that writes go as it ends; discard() drops what is no longer read.
+    """
+    spark, path, key = df.sparkSession, scratch(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read any more."""
+    for t in tables:
+        if (path := getattr(t, "_scratch", None)) and (spark := _MADE.pop(path, None)):
+            _remove(spark, path)
+
+
+@atexit.register
+def _leave() -> None:
+    """What results may still have been read from goes with the driver, if its session is still there."""
+    for path, spark in list(_MADE.items()):
+        if spark.sparkContext._jsc is not None:
+            _remove(spark, path)
+
 
+def place(df: DataFrame, name: str) -> int | None:
+    """Where a column is: the first of that very name, else the first that differs in case only."""
+    same = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    return same[0] if same else None
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that are over."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def flat(df: DataFrame) -> DataFrame:
+    """The same rows with columns c0, c1 and so on: names that clash or hold dots are no matter; toDF brings them back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def pick(df: DataFrame, **types: str) -> DataFrame:
-    """Only the named columns, in the named types; a column that is missing is null. Clashing extra columns go."""
-    have = {c.lower(): c for c in df.columns}
-    return df.select(*[(F.col(f"`{have[n.lower()]}`") if n.lower() in have else F.lit(None)).cast(t).alias(n) for n, t in types.items()])
+    """Only the named columns, in the named types; a column that is missing is null. Of columns that clash see place()."""
+    at = {n: place(df, n) for n in types}
+    return flat(df).select(*[(F.lit(None) if at[n] is None else F.col(f"c{at[n]}")).cast(t).alias(n) for n, t in types.items()])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

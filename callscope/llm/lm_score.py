@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mix, pick, release, small_batches, written
+from .common import column, mix, pick, small_batches, written
 from .tokens import TOKENIZER, encoder
 
 BURN_IN, SAMPLES, SEED = 3, 4, 11
@@ -234,10 +234,8 @@ def lm_score(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = MODEL_LIM
     """
     docs = pick(docs, doc_id="bigint", text="string")
     types = pairs(docs, tokenizer)
-    release(docs.sparkSession)
     model = fit(types, encoder(tokenizer).size + 1, burn_in, samples, seed=seed)
     table = written(predictions(types, model), "pair-probabilities")
-    release(docs.sparkSession)
     return (_broadcast if table.count() <= limit else _joined)(docs, table, model, tokenizer)
 
 

@@ -28,16 +28,18 @@ FROM r GROUP BY doc_id, item_id, i - j, run
 """
 
 OP8_SQL = f"""
-WITH w AS (SELECT DISTINCT doc_id, {WORDS_SQL.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (
-  SELECT DISTINCT doc_id, w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 1)) AS i FROM w)
-  UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1
-),
-s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, CAST(shared AS BIGINT) AS shared, CAST(x.n + y.n - shared AS BIGINT) AS united
-FROM c JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b
-WHERE shared >= {THRESHOLD} * (x.n + y.n - shared) - 1e-9
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL),
+e AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS gs FROM w),
+d AS (SELECT *, row_number() OVER (ORDER BY doc_id, gs) AS k FROM (SELECT doc_id, CASE WHEN len(gs) > 0 THEN gs END AS gs FROM e)),
+g AS (SELECT k, unnest(gs) AS g FROM d),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.k < b.k GROUP BY ALL),
+h AS (SELECT a, b, shared = x.n AND shared = y.n AS same FROM c JOIN (SELECT k, len(gs) AS n FROM d) x ON x.k = a JOIN (SELECT k, len(gs) AS n FROM d) y ON y.k = b WHERE shared >= {THRESHOLD} * (x.n + y.n - shared) - 1e-9),
+p AS (FROM h UNION ALL SELECT b, a, same FROM h),
+r AS (SELECT k, k AS top FROM d UNION SELECT p.a, r.top FROM r JOIN p ON p.b = r.k),
+m AS (SELECT k, min(top) AS top FROM r GROUP BY 1),
+s AS (SELECT a AS k, count(*) AS links, min(b) FILTER (same) AS twin FROM p GROUP BY 1)
+SELECT d.doc_id, t.doc_id AS class_id, least(d.doc_id, coalesce(u.doc_id, d.doc_id)) AS set_id, CAST(coalesce(s.links, 0) AS BIGINT) AS links
+FROM d JOIN m ON m.k = d.k JOIN d t ON t.k = m.top LEFT JOIN s ON s.k = d.k LEFT JOIN d u ON u.k = s.twin
 """
 
 

@@ -1,7 +1,9 @@
 """The corpus operators against brute force, exact round trips and held-out rows; and on odd tables."""
 
 import itertools
+import math
 import random
+import time
 from functools import cache
 
 import numpy as np
@@ -52,7 +54,7 @@ def test_codec_round_trip():
 
 def test_token_output(docs, empty):
     enc = tokens.encoder()
-    rank = token_output.ranking(token_output._ids(docs, tokens.TOKENIZER))
+    rank, _ = token_output.ranking(token_output._ids(docs, tokens.TOKENIZER))
     got = sorted((r["doc_id"] or -1, enc.decode(token_output.decode(r["n_tokens"], r["control"], r["data"], rank)).decode()) for r in token_output.token_output(docs).collect())
     assert got == sorted((r[0] or -1, r[1] or "") for r in corpus())
     counts = np.zeros(len(rank), np.int64)
@@ -151,8 +153,20 @@ def test_decontaminate(spark, docs, empty, limit):
     assert decontaminate.decontaminate(empty, b).count() == 0 and decontaminate.decontaminate(docs, b.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("frequent,very", [(64, 2048), (2, 4)])
-def test_jaccard(spark, empty, frequent, very):
+def linked(rows, least=0.7):
+    """doc_id -> (class, set, links) of (doc_id, text), by comparing all pairs."""
+    own = sorted({(i, frozenset(sets(t)) if t else frozenset()) for i, t in rows if i is not None}, key=lambda d: (d[0], sorted(d[1])))
+    near = {k: [m for m, e in enumerate(own) if m != k and d[1] and len(d[1] & e[1]) >= least * len(d[1] | e[1])] for k, d in enumerate(own)}
+    top = list(range(len(own)))
+    for _ in own:
+        for k, ms in near.items():
+            for m in ms:
+                top[k] = top[m] = min(top[k], top[m])
+    rows = sorted((d[0], own[top[k]][0], min([d[0], *(own[m][0] for m in near[k] if own[m][1] == d[1])]), len(near[k])) for k, d in enumerate(own))
+    return rows, sorted(own[k][0] for k in set(top))
+
+
+def near_rows():
     r = random.Random(1)
     base = [[r.choice("abcdefghij") + r.choice("klmnop") for _ in range(60)] for _ in range(4)]
     rows = []
@@ -161,16 +175,41 @@ def test_jaccard(spark, empty, frequent, very):
         for _ in range(r.randrange(0, 9)):
             w[r.randrange(60)] = r.choice("xyz") + str(r.randrange(50))
         rows.append((i, " ".join(w)))
-    rows += [(70, "one"), (71, "One!"), (72, ""), (73, None), (None, rows[0][1])]
-    d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    own = {i: sets(t) for i, t in rows if i is not None and t}
-    want = {(a, b, len(own[a] & own[b]), len(own[a] | own[b])) for a, b in itertools.combinations(sorted(own), 2) if own[a] and own[b] and len(own[a] & own[b]) >= 0.7 * len(own[a] | own[b])}
-    assert {tuple(x) for x in jaccard_join.jaccard_join(d, frequent=frequent, very=very).collect()} == want
-    top = {i: i for i in own}
-    for a, b, *_ in sorted(want):
-        top = {k: min(top[a], top[b]) if v in (top[a], top[b]) else v for k, v in top.items()}
+    rows += [(80 + i, rows[5][1].upper()) for i in range(6)] + [(7, rows[7][1]), (7, rows[8][1]), (7, "of its own")]
+    return rows + [(70, "one"), (71, "One!"), (72, ""), (73, None), (None, rows[0][1])]
+
+
+def test_runs_of_repetitive_texts():
+    r = random.Random(2)
+    for case in range(60):
+        period = r.randrange(1, 8)
+        a = [r.choice("xyz")] * r.randrange(0, 5) + (["p%d" % (i % period) for i in range(r.randrange(8, 60))]) + [r.choice("xyz") for _ in range(r.randrange(0, 9))]
+        b = [r.choice("xyz")] * r.randrange(0, 3) + (["p%d" % (i % period) for i in range(r.randrange(8, 40))]) + (a[5:25] if case % 2 else [])
+        if case % 3 == 0:
+            a[len(a) // 2] = "q"
+        index = decontaminate.Index([1], [" ".join(b)], 4, 5)
+        got = index.hits(*decontaminate.word_hashes([" ".join(a), "", " ".join(a[3:])]))
+        for k, text in ((0, a), (2, a[3:])):
+            assert {(x, y, n) for t, _, x, y, n in zip(*map(list, got)) if t == k} == runs(text, b, 8)
+
+
+def test_long_runs_end():
+    w = [f"w{i}" for i in range(1_000_000)]
+    index = decontaminate.Index([1, 2], [" ".join(w), "same " * 300], 4, 5)
+    start = time.time()
+    assert [x.tolist() for x in index.hits(*decontaminate.word_hashes([" ".join(w)]))] == [[0], [0], [0], [0], [1_000_000]]
+    assert len(index.hits(*decontaminate.word_hashes(["same " * 1_000_000]))[0]) == 1_000_000 + 300 - 15
+    assert time.time() - start < 60
+
+
+@pytest.mark.parametrize("frequent,very,block", [(64, 2048, 4096), (2, 4, 4096), (2, 4, 3)])
+def test_jaccard(spark, empty, frequent, very, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = near_rows()
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(tuple(x) for x in jaccard_join.jaccard_join(d, frequent=frequent, very=very).select("doc_id", "class_id", "set_id", "links").collect()) == linked(rows)[0]
     kept = jaccard_join.deduplicate(d, frequent=frequent, very=very).collect()
-    assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == sorted([72, 73] + [k for k, v in top.items() if k == v])
+    assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == linked(rows)[1]
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
@@ -182,6 +221,13 @@ def test_deduplicate_rows(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(5, a), (7, c), (3, b + " more"), (None, None), (None, None)]))
 
 
+def test_deduplicate_sends_or_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SENT", 0)
+    rows = near_rows()
+    kept = jaccard_join.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == linked(rows)[1]
+
+
 def test_sketches_never_exceed():
     r = np.random.default_rng(2)
     grams = [r.choice(np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), n, replace=False) for n in (50, 60, 64, 65, 90, 100)]
@@ -223,16 +269,41 @@ def test_blocks_are_full_at_any_layout(spark, held, monkeypatch):
     assert sorted(r["index"] for r in mixed) == list(range(len(mixed)))
 
 
-def test_neighbours(spark):
-    x = np.random.default_rng(0).normal(size=(600, 8)).astype("f4")
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [1.0]), (None, x[0].tolist()), (3, x[3].tolist())]
-    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    got = ann.neighbours(v, 5, leaf=32).collect()
-    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+def vectors():
+    x = np.random.default_rng(0).normal(size=(700, 8)).astype("f4")
+    x[600:650] = x[7]  # equal rows
+    return x
+
+
+def check_neighbours(spark, x, k, **kw):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [1.0]), (904, [float("nan")] * 8), (905, [float("inf")] * 8), (None, x[0].tolist()), (3, x[3].tolist()), (20, x[20].tolist())]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    got = ann.neighbours(v, k, **kw).collect()
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
-    want = {(i, j) for i in range(600) for j in np.argsort(d[i])[:5]}
-    assert len(got) == 3000 and len({(r["vec_id"], r["neighbour"]) for r in got} & want) >= 0.9 * len(want)
-    assert ann.neighbours(v.limit(0)).count() == 0
+    ask = range(0, len(x), 20)
+    want = {(i, j) for i in ask for j in np.lexsort((np.arange(len(x)), d[i]))[:k]}
+    assert {r["vec_id"] for r in got} == set(ask) and len(got) == k * len(ask) == len({(r["vec_id"], r["rank"]) for r in got})
+    assert all(abs(r["distance"] - math.sqrt(d[r["vec_id"], r["neighbour"]])) < 1e-2 for r in got)
+    return len({(r["vec_id"], r["neighbour"]) for r in got} & want) / len(want)
+
+
+@pytest.mark.parametrize("cell,chunk", [(10**6, 10**6), (200, 40)])
+def test_neighbours(spark, cell, chunk, monkeypatch):
+    monkeypatch.setattr(ann, "CHUNK", chunk)
+    build = ann.build
+    monkeypatch.setattr(ann, "build", lambda *a: build(*a, cell_rows=cell))
+    x = vectors()
+    assert check_neighbours(spark, x, 5, leaf=32) >= 0.9
+    assert check_neighbours(spark, x, 60, leaf=32, visits=10**6) == 1  # all leaves: exact, with ties by id
+
+
+def test_neighbours_of_few(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    assert ann.neighbours(spark.createDataFrame([], schema)).count() == 0
+    assert ann.neighbours(spark.createDataFrame([(20, [1.0, 2.0])], schema)).count() == 0
+    got = ann.neighbours(spark.createDataFrame([(20, [1.0, 2.0]), (20, [5.0, 2.0]), (1, [1.0, 2.5]), (2, [1.0, 2.5])], schema)).collect()
+    assert [(r["vec_id"], r["rank"], r["neighbour"]) for r in sorted(got)] == [(20, 1, 1), (20, 2, 2)] and got[0]["distance"] == 0.5
 
 
 def test_url_rules(spark):
@@ -338,4 +409,4 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert got.count() > 0 and got.columns == ["doc_id", "n_tokens", "control", "data", "n_vocab"]
+    assert got.count() > 0 and got.columns == ["doc_id", "n_tokens", "control", "data", "n_vocab", "ranking"]
