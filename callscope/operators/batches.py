@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import settled
+
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """One row of each key: the first in the order."""
@@ -43,9 +45,10 @@ def with_ids(rows: DataFrame, dimension: DataFrame, keys: list[str], id_col: str
     top = dimension.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
     # the ids of a range of keys begin after those of the ranges before it: no window over all rows
     ranged = fresh.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
+    ranged = settled(ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*keys))), "new-keys")  # its bounds are drawn, so it is made once
     n = ranged.groupBy("_p").agg(F.max("_i").alias("n"))
     before = n.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    # what is sent has a row a partition, and one row
     made = ranged.join(F.broadcast(before), "_p").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("before") + F.col("_i")).cast("bigint").alias(id_col), *keys)
     return dimension.select(id_col, *keys).unionByName(made)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import text as T
 
-from .match import distinct_keywords
+from .match import INLINE, direct, distinct_keywords
 from .tables import small
 
 
@@ -16,7 +16,7 @@ def summary(docs: DataFrame, keywords: DataFrame, matches: DataFrame, key: str =
     if "match_type" not in matches.columns:
         matches = matches.withColumn("match_type", F.lit("direct"))
     sets = distinct_keywords(keywords).groupBy("keyword_set").agg(F.count("*").alias("total_keywords_searched"))
-    base = docs.select(key, F.size(T.sentences(F.col(text))).cast("bigint").alias("total_sentences_in_document")).crossJoin(F.broadcast(sets))
+    base = docs.select(key, F.size(T.sentences(F.col(text))).cast("bigint").alias("total_sentences_in_document")).crossJoin(small(sets))
     got = matches.groupBy(key, "keyword_set").agg(
         F.size(F.collect_set("keyword")).cast("bigint").alias("total_keywords_with_matches"),
         F.count_if(F.col("match_type") == "direct").alias("total_direct_matches"),
@@ -24,7 +24,36 @@ def summary(docs: DataFrame, keywords: DataFrame, matches: DataFrame, key: str =
         F.size(F.collect_set(F.when(F.col("context") != "", F.xxhash64("context")))).cast("bigint").alias("total_sentences_with_match"),
     )
     out = base.join(got, [key, "keyword_set"], "left").fillna(0)
-    return out.withColumn("percent_sentences_with_match", F.when(F.col("total_sentences_in_document") > 0, F.lit(100.0) * F.col("total_sentences_with_match") / F.col("total_sentences_in_document")).otherwise(F.lit(0.0)))
+    return out.withColumn("percent_sentences_with_match", _share())
+
+
+def direct_summary(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", text: str = "text", inline: int = INLINE) -> DataFrame:
+    """The same of direct matches alone, counted inside each row's array: nothing is shuffled.
+
+    Beyond so many keywords, matches are made and counted by summary().
+    """
+    got = distinct_keywords(keywords).groupBy("keyword_set").agg(F.collect_list("kw_lc").alias("k")).orderBy("keyword_set")
+    if got.agg(F.coalesce(F.sum(F.size("k")), F.lit(0))).first()[0] > inline:
+        return summary(docs, keywords, direct(docs, keywords, key, text), key, text)
+    sets = [(r["keyword_set"], r["k"]) for r in got.collect()]
+    known = sorted({k for _, ks in sets for k in ks})
+
+    def hits(s):
+        return F.transform(F.filter(F.transform(T.words(s), F.lower), lambda w: w.isin(known)), lambda w: F.struct(w.alias("w"), F.xxhash64(s).alias("s")))
+
+    def counted(name, own):
+        h = F.filter("_h", lambda x: x["w"].isin(own))
+        kinds = (("total_keywords_with_matches", F.size(F.array_distinct(F.transform(h, lambda x: x["w"])))), ("total_direct_matches", F.size(h)), ("total_cosine_matches", F.lit(0)), ("total_sentences_with_match", F.size(F.array_distinct(F.transform(h, lambda x: x["s"])))))
+        return F.struct(F.lit(name).alias("keyword_set"), F.lit(len(own)).cast("bigint").alias("total_keywords_searched"), *[c.cast("bigint").alias(n) for n, c in kinds])
+
+    d = docs.select(key, T.sentences(F.col(text)).alias("_s"))
+    d = d.select(key, F.size("_s").cast("bigint").alias("total_sentences_in_document"), (F.flatten(F.transform("_s", hits)) if known else F.array()).alias("_h"))
+    out = d.select(key, "total_sentences_in_document", F.explode(F.array(*[counted(*x) for x in sets])).alias("x")).select(key, "total_sentences_in_document", "x.*")
+    return out.withColumn("percent_sentences_with_match", _share())
+
+
+def _share():
+    return F.when(F.col("total_sentences_in_document") > 0, F.lit(100.0) * F.col("total_sentences_with_match") / F.col("total_sentences_in_document")).otherwise(F.lit(0.0))
 
 
 def by_keyword(docs: DataFrame, keywords: DataFrame, matches: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import text as T
@@ -34,12 +34,32 @@ def direct(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", text: str
     hits = placed(F.col("_s"))
     if len(known) <= inline:
         hits = F.filter(hits, lambda x: F.lower(x["token"]).isin(known)) if known else F.slice(hits, 1, 0)
-    d = d.select(key, "_s", F.explode(hits).alias("x"))
-    near = F.get("_s", F.col("x.sent_id")) if not context else T.strip(F.array_join(F.slice("_s", F.greatest(F.col("x.sent_id") + 1 - context, F.lit(1)), F.col("x.sent_id") + 1 + context - F.greatest(F.col("x.sent_id") + 1 - context, F.lit(1)) + 1), " "))
-    d = d.select(key, F.col("x.pos").alias("position"), F.col("x.token").alias("matched_text"), near.alias("context"))
+    # each hit takes its own sentences along, not the document's
+    hits = F.transform(hits, lambda x: F.struct(x["pos"].alias("pos"), x["token"].alias("token"), around(F.col("_s"), x["sent_id"], context).alias("context")))
+    d = d.select(key, F.explode(hits).alias("x")).select(key, F.col("x.pos").alias("position"), F.col("x.token").alias("matched_text"), F.col("x.context").alias("context"))
     return d.join(small(k), F.lower("matched_text") == F.col("kw_lc")).select(key, "keyword_set", "ord", "keyword", "position", "matched_text", "context")
 
 
+def around(sents: Column, at: Column, context: int = 0) -> Column:
+    """A sentence, and so many on either side."""
+    if not context:
+        return F.get(sents, at)
+    first = F.greatest(at + 1 - context, F.lit(1))
+    return T.strip(F.array_join(F.slice(sents, first, at + 2 + context - first), " "))
+
+
+def with_variations(keywords: DataFrame, forms: DataFrame) -> DataFrame:
+    """Keywords with their other word forms behind them; forms (word, form) says which there are, in any case.
+
+    Of one spelling the first stays, so a form that is a keyword itself adds nothing.
+    """
+    k = keywords.withColumn("_w", F.lower("keyword"))
+    f = forms.select(F.lower("word").alias("_w"), F.col("form")).where(F.lower("form") != F.col("_w")).distinct()
+    top = keywords.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("_t"))
+    more = k.join(small(f), "_w").crossJoin(F.broadcast(top)).select("keyword_set", (F.col("_t") + 1 + F.col("ord")).alias("ord"), F.col("form").alias("keyword"))
+    return distinct_keywords(keywords.select("keyword_set", "ord", "keyword").unionByName(more)).drop("kw_lc")
+
+
 def close(corpus: DataFrame, keywords: DataFrame, threshold: float = 0.7, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key, ord, keyword, match_type, score: corpus rows whose cosine to a keyword's vector is at least threshold.
 
@@ -51,25 +71,22 @@ def close(corpus: DataFrame, keywords: DataFrame, threshold: float = 0.7, key: s
         raise ValueError(f"more than {limit} keywords")
     m = np.array([r["vector"] for r in got], float) if got else np.zeros((0, 1))
     m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if got else m
-    shared = corpus.sparkSession.sparkContext.broadcast(([r["ord"] for r in got], [r["keyword"] for r in got], m))
+    shared = corpus.sparkSession.sparkContext.broadcast((np.array([r["ord"] for r in got], np.int64), np.array([r["keyword"] for r in got], object), m))
     kind = corpus.schema[key].dataType.simpleString()
 
     def rows(batches):
         order, names, unit = shared.value
         for b in batches:
-            v = [(i, x) for i, x in enumerate(b.column(1).to_pylist()) if x and len(x) == unit.shape[1]]
-            if not v:
-                continue
-            x = np.array([y for _, y in v], float)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, unit.shape[1])
             s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ unit.T
             i, j = np.nonzero(s >= threshold)
             score = s[i, j]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array([v[q][0] for q in i], pa.int64())), pa.array([order[q] for q in j], pa.int64()), pa.array([names[q] for q in j], pa.string()), pa.array(np.where(score > DIRECT, "direct", "cosine")), pa.array(np.where(score > DIRECT, 1.0, score))],
+                [b.column(0).take(pa.array(i)), pa.array(order[j], pa.int64()), pa.array(names[j], pa.string()), pa.array(np.where(score > DIRECT, "direct", "cosine")), pa.array(np.where(score > DIRECT, 1.0, score))],
                 [key, "ord", "keyword", "match_type", "score"],
             )
 
-    return corpus.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(rows, f"{key} {kind}, ord bigint, keyword string, match_type string, score double")
+    return corpus.select(key, vector).where((F.size(vector) == m.shape[1]) & ~F.exists(vector, lambda x: x.isNull())).mapInArrow(rows, f"{key} {kind}, ord bigint, keyword string, match_type string, score double")
 
 
 def best(matches: DataFrame, *place: str) -> DataFrame:
@@ -98,7 +115,8 @@ def cosine(docs: DataFrame, vectors: DataFrame, keywords: DataFrame, threshold:
     units = [(u, c) for u, c in (("word", F.col("_w")), ("bigram", joined)) if mode in (u, "hybrid")]
     out = None
     for unit, c in units:
-        x = d.select(key, "_s", F.explode(c).alias("x")).select(key, F.lit(unit).alias("unit"), F.col("x.pos").alias("position"), F.col("x.token").alias("matched_text"), F.get("_s", F.col("x.sent_id")).alias("context"), F.lower("x.token").alias("token"))
+        c = F.transform(c, lambda x: F.struct(x["pos"].alias("pos"), x["token"].alias("token"), F.get("_s", x["sent_id"]).alias("context")))
+        x = d.select(key, F.explode(c).alias("x")).select(key, F.lit(unit).alias("unit"), F.col("x.pos").alias("position"), F.col("x.token").alias("matched_text"), F.col("x.context").alias("context"), F.lower("x.token").alias("token"))
         out = x if out is None else out.unionByName(x)
     m = out.join(small(like), "token").drop("token")
     if not exclude_duplicates:

@@ -10,10 +10,11 @@ from callscope.functions.text import strip
 STOP = r"(?i)^(questions and answers|q&a|operator)$"
 QUESTIONS = r"(?i)^(questions and answers|q&a)$"
 RULE = r"^[-=]{5,}$"
+BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"  # all that ends a line
 
 
 def lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\r\n|\n|\r")
+    return F.split(F.coalesce(text, F.lit("")), BREAK)
 
 
 def _first(rows: Column, test) -> Column:

@@ -45,7 +45,7 @@ def scorer(make: Callable[[], Callable[[list[str]], Iterable[float]]], batch: in
         model = make()
         for s in parts:
             text = s.fillna("").tolist()
-            yield pd.Series([float(x) for i in range(0, len(text), batch) for x in model(text[i : i + batch])], dtype=float)
+            yield pd.Series([float(x) for x in in_batches(model, text, batch)], dtype=float)
 
     return run
 
@@ -60,13 +60,73 @@ def lexicon_scorer(positive: list[str], negative: list[str]) -> Callable[[Column
     return score
 
 
-def rolled_up(docs: DataFrame, positive: list[str], negative: list[str], score: Callable[[Column], Column] | None = None, key: str = "doc_id", text: str = "text", mark: str = "\n\n") -> DataFrame:
-    """key, sentiment, ml, lm: sentiment is the mean over paragraphs of their sentences' mean; the others are sums."""
-    score = score or lexicon_scorer(positive, negative)
+def _scores(words: Column, positive: list[str], negative: list[str], hiv4: tuple[list[str], list[str]]) -> tuple[Column, Column, Column]:
+    up, down = lexicon(words, positive, negative)
+    good, bad = lexicon(words, *hiv4)
+    return pair_score(words, positive, negative), up - down, good - bad
+
+
+def rolled_up(docs: DataFrame, positive: list[str], negative: list[str], score: Callable[[Column], Column] | None = None, key: str = "doc_id", text: str = "text", mark: str = "\n\n", hiv4: tuple[list[str], list[str]] = ((), ())) -> DataFrame:
+    """key, sentiment, ml, lm, hiv4: sentiment is the mean over paragraphs of their sentences' mean; the others are sums.
+
+    Word lists score a row inside its own array, and nothing is shuffled. A model of columns (score) needs a row a sentence,
+    which are then gathered; rows with the same key are one document there.
+    """
+    if score is not None:
+        return _modelled(docs, positive, negative, score, key, text, mark, hiv4)
+    low = F.transform(T.paragraphs(F.col(text), mark), lambda p: F.transform(T.sentences(p), lambda s: F.transform(T.words(s), F.lower)))
+    up, down = [x.lower() for x in positive], [x.lower() for x in negative]
+    zero = F.lit(0).cast("bigint")
+
+    def sentence(w):
+        p, n = (F.size(F.filter(w, lambda x: _in(x, own))).cast("double") for own in (up, down))
+        ml, lm, hv = _scores(w, positive, negative, hiv4)
+        return F.struct(F.coalesce((p - n) / F.nullif(p + n, F.lit(0.0)), F.lit(0.0)).alias("x"), ml.alias("ml"), lm.alias("lm"), hv.alias("hiv4"))
+
+    def total(rows, name):
+        return F.aggregate(rows, zero, lambda a, r: a + r[name])
+
+    def mean(rows):
+        return F.aggregate(rows, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(rows).cast("double"), F.lit(0.0))
+
+    d = docs.select(key, F.filter(low, lambda p: F.size(p) > 0).alias("_p")).select(key, F.transform("_p", lambda p: F.transform(p, sentence)).alias("_p"))
+    flat = F.flatten("_p")
+    means = F.transform("_p", lambda p: mean(F.transform(p, lambda r: r["x"])))
+    return d.select(key, F.coalesce(mean(means), F.lit(0.0)).alias("sentiment"), *[F.coalesce(total(flat, n), zero).alias(n) for n in ("ml", "lm", "hiv4")])
+
+
+def _modelled(docs, positive, negative, score, key, text, mark, hiv4) -> DataFrame:
     p = docs.select(key, F.posexplode(T.paragraphs(F.col(text), mark)).alias("par", "p"))
     s = p.select(key, "par", F.explode(T.sentences(F.col("p"))).alias("s"))
-    up, down = lexicon(T.words(F.col("s")), positive, negative)
-    s = s.select(key, "par", score(F.col("s")).alias("x"), pair_score(T.words(F.col("s")), positive, negative).alias("ml"), (up - down).alias("lm"))
-    par = s.groupBy(key, "par").agg(F.avg("x").alias("x"), F.sum("ml").alias("ml"), F.sum("lm").alias("lm"))
-    got = par.groupBy(key).agg(F.avg("x").alias("sentiment"), F.sum("ml").alias("ml"), F.sum("lm").alias("lm"))
+    ml, lm, hv = _scores(T.words(F.col("s")), positive, negative, hiv4)
+    s = s.select(key, "par", score(F.col("s")).alias("x"), ml.alias("ml"), lm.alias("lm"), hv.alias("hiv4"))
+    par = s.groupBy(key, "par").agg(F.avg("x").alias("x"), *[F.sum(n).alias(n) for n in ("ml", "lm", "hiv4")])
+    got = par.groupBy(key).agg(F.avg("x").alias("sentiment"), *[F.sum(n).alias(n) for n in ("ml", "lm", "hiv4")])
     return docs.select(key).distinct().join(got, key, "left").fillna(0)
+
+
+def embedded(tokens: DataFrame, make: Callable[[], Callable[[list[str]], Iterable]], token: str = "token", batch: int = 32) -> DataFrame:
+    """(token, vector) of each distinct lower-case token, by a model that is made once a worker."""
+
+    @F.pandas_udf("array<double>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for s in parts:
+            yield pd.Series([[float(y) for y in v] for v in in_batches(model, s.tolist(), batch)])
+
+    return tokens.select(F.lower(token).alias("token")).where("token is not null").distinct().select("token", run("token").alias("vector"))
+
+
+def in_batches(model: Callable[[list[str]], Iterable], text: list[str], batch: int) -> Iterator:
+    """The model's answers; where it runs out of memory, the batch is halved from there on."""
+    at = 0
+    while at < len(text):
+        try:
+            got = list(model(text[at : at + batch]))
+        except MemoryError:
+            if batch == 1:
+                raise
+            batch = max(1, batch // 2)
+            continue
+        yield from got
+        at += batch

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions import text as T
+from callscope.functions.readability import indices
 
 from .sentiment import lexicon
 
+VAULT_INDICES = ["coleman_liau_index", "dale_chall_readability_score", "automated_readability_index", "flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog", "smog_index", "text_standard"]
 PLURAL = ["we", "us", "our", "ours", "ourselves"]
 
 
@@ -58,3 +60,16 @@ def label_shares(rows: DataFrame, keys: list[str], label: str = "label") -> Data
 def wide(rows: DataFrame, key: str, section: str, sections: list[str], values: list[str]) -> DataFrame:
     """One row a key; columns <section>_<value>. The sections are given, so no pass is made to find them."""
     return rows.groupBy(key).pivot(section, sections).agg(*[F.first(v).alias(v) for v in values])
+
+
+def risk_share(matches: DataFrame, keys: list[str], exposure_set: str, risk_set: str) -> DataFrame:
+    """Of each key: sentences with a word of the one set (exposure_count), and the share of them with one of the other too."""
+    s = matches.where(F.col("keyword_set").isin(exposure_set, risk_set) & (F.col("context") != "")).groupBy(*keys, "context").agg(*[F.max((F.col("keyword_set") == x).cast("int")).alias(n) for n, x in (("e", exposure_set), ("r", risk_set))])
+    g = s.where("e = 1").groupBy(*keys).agg(F.count("*").alias("exposure_count"), F.sum("r").alias("_r"))
+    return g.select(*keys, "exposure_count", T.percent(F.col("_r"), F.col("exposure_count")).alias("risk_percentage"))
+
+
+def section_readability(rows: DataFrame, keys: list[str], text: str = "text", easy: list[str] | None = None) -> DataFrame:
+    """The indices of each section's text; rows have one a section."""
+    r = indices(rows.select(*keys, text), text, easy)
+    return r.select(*keys, *VAULT_INDICES)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from callscope.functions import dates, readability
 from callscope.functions import text as T
-from callscope.operators import batches, compare, decompose, exposure, match, sections, sentiment, vault
+from callscope.operators import batches, compare, decompose, exposure, match, reports, sections, sentiment, vault
 from callscope.streaming.ingest import windowed
 
 SETS = {"alpha": ["the", "of", "And", "and", "avec"], "beta": ["to", "in", "que", "der", "zzz"]}
 POSITIVE, NEGATIVE = ["the", "and", "le", "der"], ["of", "to", "la", "que"]
+HIV4 = ["et", "and", "y"], ["und", "or", "que"]
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -105,7 +106,7 @@ CAST(0 AS BIGINT) AS total_cosine_matches, coalesce(g.s, 0) AS total_sentences_w
 FROM d CROSS JOIN n LEFT JOIN g ON g.doc_id = d.doc_id AND g.keyword_set = n.keyword_set""",
 )
 def exposure_summary(spark, sf_dir):
-    return exposure.summary(*_matches(spark, sf_dir))
+    return exposure.direct_summary(table(spark, sf_dir, "documents").select("doc_id", "text"), keyword_table(spark))
 
 
 @register("exposure_by_keyword", CTE + "SELECT d.doc_id, kw.keyword_set, kw.keyword, count(m.position) AS n FROM d CROSS JOIN kw LEFT JOIN m ON m.doc_id = d.doc_id AND m.keyword_set = kw.keyword_set AND m.keyword = kw.keyword GROUP BY ALL")
@@ -157,11 +158,11 @@ def cosine_best(spark, sf_dir):
 
 @register(
     "bigram_range_anti",
-    CTE + ", b AS (SELECT doc_id, pos, token || ' ' || lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS bigram, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM ps), m1 AS (SELECT DISTINCT doc_id, position FROM m WHERE keyword_set = 'alpha'), b2 AS (SELECT doc_id, CAST(pos AS INTEGER) AS position, bigram FROM b WHERE nx IS NOT NULL AND lower(bigram) LIKE 'in %') SELECT * FROM b2 WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.doc_id = b2.doc_id AND abs(m1.position - b2.position) <= 1)",
+    CTE + ", b AS (SELECT doc_id, pos, token || ' ' || lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS bigram, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM ps), m1 AS (SELECT DISTINCT doc_id, position FROM m WHERE keyword_set = 'alpha'), b2 AS (SELECT doc_id, CAST(pos AS INTEGER) AS position, bigram FROM b WHERE nx IS NOT NULL) SELECT * FROM b2 WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.doc_id = b2.doc_id AND abs(m1.position - b2.position) <= 1)",
 )
 def bigram_range_anti(spark, sf_dir):
     docs, _, m = _matches(spark, sf_dir)
-    b = decompose.bigrams(docs).select("doc_id", F.col("pos").alias("position"), "bigram").where(F.lower("bigram").like("in %"))
+    b = decompose.bigrams(docs).select("doc_id", F.col("pos").alias("position"), "bigram")
     return match.bigrams_apart(b, m.where("keyword_set = 'alpha'"))
 
 
@@ -284,6 +285,7 @@ def date_split(spark, sf_dir):
 
 _LEX = f"len(list_filter({{0}}, lambda x: list_contains({LISTS['p']}, lower(x))))", f"len(list_filter({{0}}, lambda x: list_contains({LISTS['n']}, lower(x))))"
 _W = WORDS.format("text")
+_HIV = " - ".join(f"len(list_filter(w, lambda x: list_contains([{', '.join(repr(h) for h in own)}], lower(x))))" for own in HIV4)
 
 
 @register("lexicon_score", f"SELECT doc_id, CAST({_LEX[0].format('w')} AS BIGINT) AS positive, CAST({_LEX[1].format('w')} AS BIGINT) AS negative, CAST({_LEX[0].format('w')} - {_LEX[1].format('w')} AS BIGINT) AS lm FROM (SELECT doc_id, coalesce({_W}, []) AS w FROM documents)")
@@ -305,13 +307,14 @@ def ml_pairs(spark, sf_dir):
     "sentiment_rollup",
     f"""WITH p AS (SELECT doc_id, par, unnest(list_filter([trim(q, {BLANKS})], lambda x: x <> '')) AS t FROM (SELECT doc_id, generate_subscripts(l, 1) AS par, unnest(l) AS q FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
 s AS (SELECT doc_id, par, unnest({SENTS.format("t")}) AS text FROM p),
-x AS (SELECT doc_id, par, coalesce(({_LEX[0].format("w")} - {_LEX[1].format("w")})::DOUBLE / nullif({_LEX[0].format("w")} + {_LEX[1].format("w")}, 0), 0) AS v FROM (SELECT doc_id, par, {_W} AS w FROM s)),
-g AS (SELECT doc_id, par, avg(v) AS v FROM x GROUP BY 1, 2)
-SELECT d.doc_id, {near4("coalesce(avg(v), 0)")} AS sentiment FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY 1""",
+x AS (SELECT doc_id, par, coalesce(({_LEX[0].format("w")} - {_LEX[1].format("w")})::DOUBLE / nullif({_LEX[0].format("w")} + {_LEX[1].format("w")}, 0), 0) AS v, {_LEX[0].format("w")} - {_LEX[1].format("w")} AS lm, {_HIV} AS hv,
+list_sum(list_transform(range(1, len(w)), lambda i: CASE WHEN list_contains({LISTS["p"]}, lower(w[i])) AND list_contains({LISTS["p"]}, lower(w[i + 1])) THEN 1 WHEN list_contains({LISTS["n"]}, lower(w[i])) AND list_contains({LISTS["n"]}, lower(w[i + 1])) THEN -1 ELSE 0 END)) AS ml FROM (SELECT doc_id, par, {_W} AS w FROM s)),
+g AS (SELECT doc_id, par, avg(v) AS v, sum(lm) AS lm, sum(hv) AS hv, sum(ml) AS ml FROM x GROUP BY 1, 2)
+SELECT d.doc_id, {near4("coalesce(avg(v), 0)")} AS sentiment, CAST(coalesce(sum(ml), 0) AS BIGINT) AS ml, CAST(coalesce(sum(lm), 0) AS BIGINT) AS lm, CAST(coalesce(sum(hv), 0) AS BIGINT) AS hiv4 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY 1""",
 )
 def sentiment_rollup(spark, sf_dir):
-    r = sentiment.rolled_up(table(spark, sf_dir, "documents"), POSITIVE, NEGATIVE, mark="\n")
-    return r.select("doc_id", T.near4(F.col("sentiment")).alias("sentiment"))
+    r = sentiment.rolled_up(table(spark, sf_dir, "documents"), POSITIVE, NEGATIVE, mark="\n", hiv4=HIV4)
+    return r.withColumn("sentiment", T.near4(F.col("sentiment")))
 
 
 _COUNTS = f"SELECT doc_id, coalesce({_W}, []) AS w, len({SENTS.format('text')}) AS s, length(regexp_replace(text, '\\s', '', 'g')) AS c, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS l FROM documents"
@@ -328,9 +331,32 @@ def readability_indices(spark, sf_dir):
     return r.select("doc_id", *[T.near4(F.col(c)).alias(c) for c in ("coleman_liau_index", "automated_readability_index", "flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog", "smog_index")])
 
 
-@register("readability_all")
+_HARD = f"len(list_filter(list_distinct(list_transform(w, lambda x: lower(x))), lambda x: greatest(len(regexp_extract_all(x, '{readability.VOWELS}')), 1) >= 2))"
+_ALL = {
+    "flesch_reading_ease": "206.835 - 1.015 * n / s - 84.6 * sy / n",
+    "flesch_kincaid_grade": "0.39 * n / s + 11.8 * sy / n - 15.59",
+    "smog_index": "CASE WHEN s >= 3 THEN 1.043 * sqrt(30 * px / s) + 3.1291 ELSE 0 END",
+    "coleman_liau_index": "0.0588 * (100 * l / n) - 0.296 * (100 * s / n) - 15.8",
+    "automated_readability_index": "4.71 * c / n + 0.5 * n / s - 21.43",
+    "dale_chall_readability_score": "0.1579 * (hd / n * 100) + 0.0496 * n / s + CASE WHEN hd / n * 100 > 5 THEN 3.6365 ELSE 0 END",
+    "linsear_write_formula": "CASE WHEN li / s > 20 THEN li / s / 2 ELSE (li / s - 2) / 2 END",
+    "gunning_fog": "0.4 * (n / s + 100 * px / n)",
+}
+_GRADES = ", ".join(f"CAST(round({g}) AS INTEGER)" for g in readability.GRADES)
+
+
+@register(
+    "readability_all",
+    _READ + f""", h AS (SELECT *, {_HARD}::DOUBLE AS hd, coalesce(list_sum(list_transform(y[1:100], lambda v: CASE WHEN v >= 3 THEN 3 ELSE 1 END)), 0)::DOUBLE AS li FROM c2),
+e AS (SELECT doc_id, n, s, c, l, sy, px, hd, {", ".join(f"CASE WHEN n > 0 AND s > 0 THEN {e} ELSE 0 END AS {k}" for k, e in _ALL.items())} FROM h),
+q AS (SELECT doc_id, list_sort([{_GRADES}]) AS gs FROM e),
+m AS (SELECT doc_id, list_sort(list_transform(list_distinct(gs), lambda g: {{'n': -len(list_filter(gs, lambda x: x = g)), 'g': g}}))[1].g AS g FROM q)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(s AS BIGINT) AS n_sentences, CAST(coalesce(c, 0) AS BIGINT) AS n_chars, CAST(coalesce(l, 0) AS BIGINT) AS n_letters, CAST(sy AS BIGINT) AS n_syllables, CAST(px AS BIGINT) AS n_complex, CAST(hd AS BIGINT) AS difficult_words,
+{", ".join(f"{near4(k)} AS {k}" for k in _ALL)}, (g - 1) || 'th and ' || g || 'th grade' AS text_standard FROM e JOIN m USING (doc_id)""",
+)
 def readability_all(spark, sf_dir):
-    return readability.indices(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    r = readability.indices(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return r.withColumns({c: T.near4(F.col(c)) for c in _ALL})
 
 
 def _calls(spark, sf_dir):
@@ -341,7 +367,21 @@ def _calls(spark, sf_dir):
     return g.select("conv_id", F.concat(F.lit("title\n========\nPresentation\n--------\n"), F.col("turns"), F.lit("\n========\nQuestions and Answers\n--------\n"), F.col("turns")).alias("body"))
 
 
-@register("section_clean")
+_CALLS = """
+WITH RECURSIVE tx AS (SELECT conv_id, string_agg('--------' || chr(10) || role || chr(10) || '--------' || chr(10) || text, chr(10) ORDER BY turn) AS turns FROM conversations GROUP BY 1),
+bd AS (SELECT conv_id, 'title' || chr(10) || '========' || chr(10) || 'Presentation' || chr(10) || '--------' || chr(10) || turns || chr(10) || '========' || chr(10) || 'Questions and Answers' || chr(10) || '--------' || chr(10) || turns AS body FROM tx),
+ln AS (SELECT conv_id, string_split_regex(body, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\x{2028}\\x{2029}]') AS a FROM bd),
+st AS (SELECT conv_id, a, list_transform(a, lambda x: trim(x, @blanks)) AS z FROM ln),
+pt AS (SELECT conv_id, a, list_position(z, 'Presentation') AS p, list_position(list_transform(z, lambda x: regexp_full_match(lower(x), 'questions and answers|q&a')), true) AS q, list_position(list_transform(z, lambda x: regexp_full_match(lower(x), 'questions and answers|q&a|operator')), true) AS e FROM st),
+se AS (SELECT conv_id, CASE WHEN p > 0 AND (coalesce(e, 0) = 0 OR e > p) THEN trim(array_to_string(a[p + 1:(CASE WHEN e > 0 THEN e - 1 ELSE len(a) END)], chr(10)), @blanks) ELSE '' END AS pres, CASE WHEN q > 0 THEN trim(array_to_string(a[q + 1:], chr(10)), @blanks) ELSE '' END AS qa FROM pt),
+tl AS (SELECT conv_id, string_split(pres || chr(10) || chr(10) || qa, chr(10)) AS a FROM se),
+sp AS (SELECT conv_id, i FROM (SELECT conv_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM tl) WHERE regexp_full_match(trim(x, @blanks), '[-=]{5,}')),
+tk AS (SELECT conv_id, min(i) AS i FROM sp GROUP BY 1 UNION ALL SELECT tk.conv_id, (SELECT min(sp.i) FROM sp WHERE sp.conv_id = tk.conv_id AND sp.i > tk.i + 2) FROM tk WHERE tk.i IS NOT NULL),
+tg AS (SELECT conv_id, list(i) AS g FROM tk WHERE i IS NOT NULL GROUP BY 1)
+""".replace("@blanks", BLANKS)
+
+
+@register("section_clean", _CALLS + f"SELECT tl.conv_id, trim(array_to_string(list_filter(a, lambda x, i: NOT (list_contains(coalesce(g, []), i) OR list_contains(coalesce(g, []), i - 1) OR list_contains(coalesce(g, []), i - 2))), chr(10)), {BLANKS}) AS text FROM tl LEFT JOIN tg ON tg.conv_id = tl.conv_id")
 def section_clean(spark, sf_dir):
     return _calls(spark, sf_dir).select("conv_id", sections.match_text(F.col("body")).alias("text"))
 
@@ -379,3 +419,100 @@ def word_set_stats(spark, sf_dir):
 @register("bigram_shape", "SELECT p_partkey, regexp_full_match(p_name, '\\s*[\\p{L}\\p{N}]+\\s+[\\p{L}\\p{N}]+\\s*') AS pair, regexp_full_match(p_name || ' x', '\\s*[\\p{L}\\p{N}]+\\s+[\\p{L}\\p{N}]+\\s*') AS longer FROM part")
 def bigram_shape(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.is_bigram(F.col("p_name")).alias("pair"), T.is_bigram(F.concat("p_name", F.lit(" x"))).alias("longer"))
+
+
+_SUM = SQL["exposure_summary"]
+
+
+def _exposures(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    x = exposure.direct_summary(docs.select("doc_id", "text"), keyword_table(spark))
+    meta = docs.select("doc_id", F.col("source").alias("company_name"), F.lit(None).cast("string").alias("company_ticker"), F.concat("lang", F.lit(" 1:00pm GMT")).alias("start_date"))
+    return reports.exposure_rows(x, meta, "doc_id")
+
+
+@register("exposure_rows", f"SELECT e.doc_id, keyword_set AS keyword_name, total_keywords_searched, total_keywords_with_matches, total_direct_matches, total_cosine_matches, total_direct_matches + total_cosine_matches AS total_matches, source AS company_name, NULL::VARCHAR AS company_ticker, lang AS date, CASE WHEN lang IS NOT NULL THEN '1:00pm GMT' ELSE '' END AS time, NULL::VARCHAR AS match_id, 'direct' AS matching_method FROM ({_SUM}) e JOIN documents USING (doc_id)")
+def exposure_rows(spark, sf_dir):
+    return _exposures(spark, sf_dir)
+
+
+def _counts(spark, sf_dir):
+    return compare.shared_sentences(_matches(spark, sf_dir)[2], list(SETS))[1]
+
+
+@register("corpus_totals", f"SELECT count(*) AS total_calls, count(*) FILTER (shared_sentences_count > 0) AS calls_with_shared, CAST(coalesce(sum(shared_sentences_count), 0) AS BIGINT) AS total_shared FROM ({SQL['shared_counts']})")
+def corpus_totals(spark, sf_dir):
+    return reports.corpus_totals(_counts(spark, sf_dir))
+
+
+@register("shared_summary", f"SELECT d.doc_id, d.source, shared_sentences_count FROM documents d JOIN ({SQL['shared_counts']}) c USING (doc_id)")
+def shared_summary(spark, sf_dir):
+    return reports.with_shared_counts(table(spark, sf_dir, "documents").select("doc_id", "source"), _counts(spark, sf_dir), "doc_id")
+
+
+@register(
+    "shared_series",
+    f"WITH j AS (SELECT DATE '2016-01-01' + CAST(d.doc_id % 365 AS INTEGER) AS day, shared_sentences_count AS v FROM documents d JOIN ({SQL['shared_counts']}) c USING (doc_id)), g AS (SELECT day, avg(v) AS m FROM j GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, {near4('m')} AS mean_value, {near4('avg(m) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)')} AS rolling FROM g",
+)
+def shared_series(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.date_add(F.lit("2016-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int")).alias("day"))
+    r = compare.daily(reports.with_shared_counts(d, _counts(spark, sf_dir), "doc_id"), "day", "shared_sentences_count")
+    return r.select(F.col("day").cast("string").alias("day"), *[T.near4(F.col(c)).alias(c) for c in ("mean_value", "rolling")])
+
+
+@register("stored_or_named", "SELECT o_orderkey AS file_name, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) THEN 'p' || o_custkey WHEN o_orderkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) THEN 'p' || o_orderkey END AS transcript_path FROM orders")
+def stored_or_named(spark, sf_dir):
+    files = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 > 0).select(F.col("c_custkey").alias("name"), F.concat(F.lit("p"), "c_custkey").alias("path"))
+    return reports.stored_or_named(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_name"), F.concat(F.lit("p"), "o_custkey").alias("file_path")), files)
+
+
+@register("upload_outcomes", "SELECT CASE WHEN coalesce(source, '') = '' THEN 'skipped' WHEN lang <> 'en' THEN 'error' WHEN doc_id % 7 = 0 THEN 'skipped' ELSE 'success' END AS status, CASE WHEN coalesce(source, '') = '' THEN 'No company name' WHEN lang <> 'en' THEN 'Could not create company' WHEN doc_id % 7 = 0 THEN 'No source file' END AS reason, count(*) AS n FROM documents GROUP BY ALL")
+def upload_outcomes(spark, sf_dir):
+    status, reason = reports.upload_outcome(F.col("source"), F.when(F.col("doc_id") % 7 != 0, F.col("doc_id").cast("string")), F.col("lang") == "en")
+    return reports.outcomes(table(spark, sf_dir, "documents").select(status.alias("status"), reason.alias("reason")))
+
+
+@register("upload_dates", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'O' THEN strftime(o_orderdate, '%Y-%m-%dT13:05:00+00:00') END AS event_date FROM orders")
+def upload_dates(spark, sf_dir):
+    d = F.date_format("o_orderdate", "dd-MMM-yy")
+    s = F.when(F.col("o_orderstatus") == "F", F.concat(d, F.lit(" 01:05PM EST"))).when(F.col("o_orderstatus") == "P", F.concat(d, F.lit(" 13:05 GMT"))).otherwise(F.concat(F.lit("on "), d))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.upload_date(s).alias("event_date"))
+
+
+@register("risk_share", CTE + f", s AS (SELECT doc_id, context, max((keyword_set = 'alpha')::INT) AS e, max((keyword_set = 'beta')::INT) AS r FROM m GROUP BY 1, 2), g AS (SELECT doc_id, count(*) AS exposure_count, sum(r) AS r FROM s WHERE e = 1 GROUP BY 1) SELECT doc_id, exposure_count, {_PCT.format('r', 'exposure_count')} AS risk_percentage FROM g")
+def risk_share(spark, sf_dir):
+    return vault.risk_share(_matches(spark, sf_dir)[2], ["doc_id"], "alpha", "beta")
+
+
+_SECTION = SQL["readability_all"].replace("FROM documents", "FROM (SELECT conv_id || '/' || role AS doc_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id, role)")
+
+
+@register("section_readability", f"SELECT doc_id, {', '.join(vault.VAULT_INDICES)} FROM ({_SECTION})")
+def section_readability(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    g = c.groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
+    r = vault.section_readability(g.select(F.concat("conv_id", F.lit("/"), "role").alias("doc_id"), "text"), ["doc_id"])
+    return r.withColumns({k: T.near4(F.col(k)) for k in vault.VAULT_INDICES if k != "text_standard"})
+
+
+@register("word_forms", "WITH k AS (SELECT keyword_set, ord, keyword FROM " + KEYS + "), f AS (SELECT n_name AS word, n_name || 's' AS form FROM nation UNION ALL SELECT keyword, keyword || 'like' FROM k UNION ALL SELECT keyword, upper(keyword) FROM k), x AS (SELECT DISTINCT k.keyword_set, 5 + k.ord AS ord, f.form AS keyword FROM k JOIN f ON lower(f.word) = lower(k.keyword) WHERE lower(f.form) <> lower(k.keyword)), u AS (SELECT * FROM k UNION ALL SELECT * FROM x) SELECT keyword_set, CAST(ord AS BIGINT) AS ord, keyword FROM u QUALIFY row_number() OVER (PARTITION BY keyword_set, lower(keyword) ORDER BY ord, keyword) = 1")
+def word_forms(spark, sf_dir):
+    k = keyword_table(spark)
+    f = table(spark, sf_dir, "nation").select(F.col("n_name").alias("word"), F.concat("n_name", F.lit("s")).alias("form")).union(k.select("keyword", F.concat("keyword", F.lit("like")))).union(k.select("keyword", F.upper("keyword")))
+    return match.with_variations(k, f)
+
+
+@register("comparison_json", CTE + ", s AS (SELECT doc_id, context, max((keyword_set = 'alpha')::INT) AS a, max((keyword_set = 'beta')::INT) AS b FROM m GROUP BY 1, 2) SELECT doc_id, CAST(sum(a * b) AS BIGINT) AS n_common, string_agg(context, '|' ORDER BY context) FILTER (a * b = 1) AS sentences FROM s GROUP BY 1")
+def comparison_json(spark, sf_dir):
+    m = _matches(spark, sf_dir)[2]
+    j = reports.comparison_document(compare.sentence_map(m), compare.compare(m, "alpha", "beta"), "alpha", "beta")
+    x = F.from_json("json", "metadata struct<common_sentences_with_matches: bigint>, by_sentence map<string, struct<file1: struct<keywords: array<string>>>>")
+    names = F.array_sort(F.map_keys("x.by_sentence"))
+    return j.select("doc_id", x.alias("x")).select("doc_id", F.col("x.metadata.common_sentences_with_matches").alias("n_common"), F.when(F.size(names) > 0, F.array_join(names, "|")).alias("sentences"))
+
+
+@register("metadata_issues", "SELECT 'm' || o_orderkey AS path, CASE WHEN o_orderstatus = 'O' THEN 'c' || o_custkey END AS file_name, CASE WHEN o_orderstatus = 'F' THEN 'TOML error: bad' WHEN o_orderstatus = 'P' THEN 'Missing document.file_name' ELSE 'File not found in earnings_calls_dir' END AS reason FROM orders WHERE o_orderstatus <> 'O' OR o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def metadata_issues(spark, sf_dir):
+    meta = table(spark, sf_dir, "orders").select(F.concat(F.lit("m"), "o_orderkey").alias("path"), F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("c"), "o_custkey")).alias("file_name"), F.when(F.col("o_orderstatus") == "F", "bad").alias("error"))
+    there = table(spark, sf_dir, "customer").where(F.col("c_custkey") % 2 == 0).select(F.concat(F.lit("c"), "c_custkey").alias("file_name"))
+    return reports.metadata_issues(meta, there)

@@ -34,9 +34,31 @@ def transcripts(raw: DataFrame) -> DataFrame:
     )
 
 
+def anywhere(spark: SparkSession, path: str | list[str], pattern: str = "*.[xX][mM][lL]", recursive: bool = False) -> DataFrame:
+    """The same columns from files whose body lies at any depth: the first Body of the document counts."""
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
+    x = F.col("value")
+    top = {n: F.xpath_string(x, F.lit(f"/*/{n}")) for n in ("eventTitle", "city", "companyName", "companyTicker", "startDate")}
+    there = {n: F.when(F.size(F.xpath(x, F.lit(f"/*/{n}/text()"))) > 0, v) for n, v in top.items()}
+    body = F.struct(F.lit(None).cast("string").alias("Headline"), F.xpath_string(x, F.lit("(//Body)[1]")).alias("Body")).alias("EventStory")
+    return transcripts(raw.select(body, *[v.alias(n) for n, v in there.items()], "_metadata"))
+
+
 def read(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """Transcripts of a folder or of files; a path that doesn't exist is an error."""
-    return transcripts(reader(spark, **options).load(path))
+    """Transcripts of a folder or of files; a path that doesn't exist, or holds no transcript, is an error."""
+    t = transcripts(reader(spark, **options).load(path))
+    if not t.inputFiles():
+        raise FileNotFoundError(f"no transcripts in {path}")
+    return t
+
+
+def index(spark: SparkSession, roots: list[str], pattern: str = "*.[xX][mM][lL]") -> DataFrame:
+    """name, path of the files below the roots, which are listed, not read; of one name that of the first root, then path."""
+    out = None
+    for i, root in enumerate(roots):
+        f = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup="true").load(root).select(F.lit(i).alias("root_ord"), "path", F.element_at(F.split("path", "/"), -1).alias("name"))
+        out = f if out is None else out.union(f)
+    return by_name(out)
 
 
 def section_rows(t: DataFrame, strict: bool = False) -> DataFrame:
