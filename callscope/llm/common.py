@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,7 +19,7 @@ DELIMS = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 9
 _TO_SPACE = bytes(32 if b in DELIMS else b for b in range(256))
 #: The same words in DuckDB SQL, given a column of text.
 WORDS_SQL = r"regexp_extract_all(lower({0}), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')"
-MEMO_LIMIT = 200_000
+MEMO_LIMIT = 100_000
 
 
 class _WordHash(dict):
@@ -90,6 +91,18 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str = "text", limit
                 yield b.slice(a, z - a)
 
 
+def by_length(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same as small_batches, each batch's rows in the order of their length: texts of like length come together."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0)
+        order = pc.array_sort_indices(size)
+        total = np.cumsum(np.array(size.take(order), np.int64) + 16)
+        edges = [0, *(np.flatnonzero(np.diff(total // limit)) + 1).tolist(), b.num_rows]
+        for a, z in zip(edges, edges[1:]):
+            if z > a:
+                yield b.take(order[a:z])
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
@@ -108,10 +121,15 @@ _MADE: dict[str, SparkSession] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share (spark.checkpoint.dir); without that setting an error."""
+    """A fresh path in the folder that all executors share, spark.checkpoint.dir.
+
+    Where that is unset, a session of one process takes a folder of its own beside its tables; on a cluster it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     _MADE[path] = spark
     return path

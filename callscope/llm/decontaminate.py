@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, kgrams, mix, pick, small_batches, word_hashes
+from .common import column, flat, kgrams, mix, pick, place, small_batches, word_hashes
 
 K, WINDOW = 4, 5  # every shared run of K + WINDOW - 1 words is found
 SHARED_LIMIT = 4_000_000  # words of the benchmark up to which its index is broadcast
@@ -33,6 +35,24 @@ def winnow(h: np.ndarray, off: np.ndarray, k: int, w: int) -> tuple[np.ndarray,
     return g[keep], at[keep]
 
 
+def stretches(g: np.ndarray, at: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of fingerprints in the order of places: where stretches begin, how many are in them, and their step.
+
+    In a stretch one hash comes again at equal steps of at most k words, as in a text that repeats itself; each other
+    fingerprint is alone, with step 0.
+    """
+    n = len(g)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    step = np.zeros(n, np.int64)  # to the next one, 0 where that is no repetition
+    step[:-1] = np.where((g[1:] == g[:-1]) & (text[1:] == text[:-1]) & (at[1:] - at[:-1] <= k), at[1:] - at[:-1], 0)
+    before = np.append(0, step[:-1])
+    begin = np.flatnonzero((before == 0) | (step != before) & (step > 0))
+    count = np.diff(np.append(begin, n))
+    # where the step changes the old stretch ends with the fingerprint before
+    return begin, count, np.where(count > 1, step[begin], 0)
+
+
 class Index:
     """A benchmark's words and fingerprints; finds every maximal shared run of at least k + w - 1 words."""
 
@@ -40,51 +60,95 @@ class Index:
         self.k, self.w, self.ids = k, w, np.array(ids, np.int64)
         self.h, self.off = word_hashes(texts)
         g, at = winnow(self.h, self.off, k, w)
-        o = np.argsort(g, kind="stable")
-        self.g, self.at = g[o], at[o]
+        begin, count, step = stretches(g, at, np.searchsorted(self.off, at, "right"), k)
+        o = np.argsort(g[begin], kind="stable")
+        self.g, self.at, self.count, self.step = g[begin][o], at[begin][o], count[o], step[o]
+
+    def _seeds(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the texts, place in the items, words that are surely equal from there on).
+
+        Of two stretches of the same hash and step only the cells of the first row and column are seeds: all others lie on
+        their diagonals, in the same run.
+        """
+        g, at = winnow(h, off, self.k, self.w)
+        begin, count, step = stretches(g, at, np.searchsorted(off, at, "right"), self.k)
+        g, at = g[begin], at[begin]
+        lo = np.searchsorted(self.g, g, "left")
+        n = np.searchsorted(self.g, g, "right") - lo
+        if not n.sum():
+            return (np.empty(0, np.int64),) * 3
+        x = np.repeat(np.arange(len(g)), n)
+        y = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        a, ca, sa, b, cb, sb = at[x], count[x], step[x], self.at[y], self.count[y], self.step[y]
+        alike = (sa == sb) | (ca == 1) | (cb == 1)
+        out = []
+        for sel, cells in ((alike, ca + cb - 1), (~alike, ca * cb)):
+            if not sel.any():
+                continue
+            m = cells[sel]
+            r = np.repeat(np.flatnonzero(sel), m)
+            c = np.arange(len(r)) - np.repeat(np.cumsum(m) - m, m)
+            if sel is alike:
+                i, j = np.where(c < ca[r], c, 0), np.where(c < ca[r], 0, c - ca[r] + 1)
+                more = np.where((sa[r] == sb[r]), np.minimum(ca[r] - 1 - i, cb[r] - 1 - j) * sa[r], 0)
+            else:
+                i, j, more = c // cb[r], c % cb[r], 0
+            out.append(np.stack([a[r] + i * sa[r], b[r] + j * sb[r], self.k + more + np.zeros(len(r), np.int64)]))
+        return tuple(np.concatenate(out, 1))
 
     def hits(self, h: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Of each maximal run: text, item, word in the text, word in the item, length."""
-        g, at = winnow(h, off, self.k, self.w)
-        lo, hi = np.searchsorted(self.g, g, "left"), np.searchsorted(self.g, g, "right")
-        n = hi - lo
-        some = n > 0
-        lo, n, at = lo[some], n[some], at[some]
-        if not len(at):
+        a, b, sure = self._seeds(h, off)
+        if not len(a):
             return [np.empty(0, np.int64)] * 5
-        a = np.repeat(at, n)
-        b = self.at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
         ta, tb = np.searchsorted(off, a, "right") - 1, np.searchsorted(self.off, b, "right") - 1
-        # one seed for each diagonal at a time is extended; the runs it falls in are then known
-        start_a, end_a = off[ta], off[ta + 1]
-        start_b, end_b = self.off[tb], self.off[tb + 1]
-        left, right = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
+        o = np.lexsort((a, a - b, tb, ta))
+        a, b, sure, ta, tb = a[o], b[o], sure[o], ta[o], tb[o]
+        same = (ta[1:] == ta[:-1]) & (tb[1:] == tb[:-1]) & (a[1:] - b[1:] == a[:-1] - b[:-1])
+        # a seed is extended to the next one of its diagonal at most, and the first of a run to the left
+        stop = np.minimum(off[ta + 1], a + self.off[tb + 1] - b)
+        stop[:-1] = np.where(same, np.minimum(stop[:-1], np.maximum(a[1:], a[:-1] + sure[:-1])), stop[:-1])
+        end = np.minimum(a + sure, stop)
+        live = np.flatnonzero(end < stop)
         while len(live):
-            i, j = a[live] - left[live] - 1, b[live] - left[live] - 1
-            ok = (i >= start_a[live]) & (j >= start_b[live])
-            ok[ok] = h[i[ok]] == self.h[j[ok]]
+            ok = h[end[live]] == self.h[b[live] + end[live] - a[live]]
             live = live[ok]
-            left[live] += 1
-        live = np.arange(len(a))
+            end[live] += 1
+            live = live[end[live] < stop[live]]
+        joined = np.append(False, same & (end[:-1] >= a[1:]))
+        first = np.flatnonzero(~joined)
+        top = np.maximum.reduceat(end, first)
+        a, b, ta, tb = a[first], b[first], ta[first], tb[first]
+        start, least = a.copy(), np.maximum(off[ta], a - (b - self.off[tb]))
+        live = np.flatnonzero(start > least)
         while len(live):
-            i, j = a[live] + right[live], b[live] + right[live]
-            ok = (i < end_a[live]) & (j < end_b[live])
-            ok[ok] = h[i[ok]] == self.h[j[ok]]
+            ok = h[start[live] - 1] == self.h[b[live] + start[live] - 1 - a[live]]
             live = live[ok]
-            right[live] += 1
-        size = left + right
-        keep = size >= self.k + self.w - 1
-        rows = np.stack([ta, tb, a - left - start_a, b - left - start_b, size], 1)[keep]
+            start[live] -= 1
+            live = live[start[live] > least[live]]
+        keep = top - start >= self.k + self.w - 1
+        rows = np.stack([ta, tb, start - off[ta], b + start - a - self.off[tb], top - start], 1)[keep]
         return list(np.unique(rows, axis=0).T) if len(rows) else [np.empty(0, np.int64)] * 5
 
 
+_KEPT: dict[str, Index] = {}
+
+
+def _index(name: str, items: tuple[list, list], k: int, w: int) -> Index:
+    """Built once a worker."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Index(*items, k, w)
+    return _KEPT[name]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, shared_limit: int = SHARED_LIMIT) -> DataFrame:
     """Every maximal run of at least k + window - 1 words that a document shares with a benchmark item.
 
     Columns: doc_id, item_id, doc_word and item_word (0-based place of the run's first word), n_words. Words are
     lower-cased and punctuation is ignored. Null or short texts share nothing; rows with a null id are left out; repeated
-    rows give their runs once; other columns are ignored; empty tables give no rows. A benchmark of at most
+    rows give their runs once; texts are taken whole, and the time for one follows its length and that of what it shares; of equal hashes in a
+    window the last counts on both sides; other columns are ignored; empty tables give no rows. A benchmark of at most
     shared_limit words is broadcast as an index, a larger one is joined by fingerprint.
     """
     docs = pick(docs, doc_id="bigint", text="string").where("doc_id is not null and text is not null")
@@ -102,10 +166,10 @@ def _batch(index: Index, ids: list[int], texts: list[str]) -> pa.RecordBatch:
 
 def _broadcast(docs: DataFrame, items: DataFrame, k: int, w: int) -> DataFrame:
     got = items.orderBy("item_id", "text").collect()
-    shared = docs.sparkSession.sparkContext.broadcast(([r[0] for r in got], [r[1] for r in got]))
+    shared, own = docs.sparkSession.sparkContext.broadcast(([r[0] for r in got], [r[1] for r in got])), uuid.uuid4().hex
 
     def rows(batches):
-        index = Index(*shared.value, k, w)
+        index = _index(own, shared.value, k, w)
         for b in small_batches(batches):
             yield _batch(index, column(b, "doc_id"), column(b, "text"))
 
@@ -138,27 +202,30 @@ def _shuffled(docs: DataFrame, items: DataFrame, k: int, w: int) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = K, window: int = WINDOW, shared_limit: int = SHARED_LIMIT) -> DataFrame:
-    """The rows whose text shares no run with the benchmark, with all their columns; each row is judged by its own text.
+    """The rows whose text shares no run with the benchmark, with all their columns, whatever their names.
 
-    With a benchmark of at most shared_limit words the rows are filtered where they are read; else by hash of the text.
+    Each row is judged by its own text: repeated rows and null ids stay or go alike. Null, empty and short texts stay; texts are read
+    whole; without a text column or a benchmark all rows stay; an empty table gives an empty table. With a benchmark of at most
+    shared_limit words the rows are filtered where they are read; else by hash of the text.
     """
-    name = next((c for c in docs.columns if c.lower() == "text"), None)
-    if name is None:
+    at = place(docs, "text")
+    if at is None:
         return docs
     items = pick(benchmark, item_id="bigint", text="string").where("item_id is not null and text is not null").dropDuplicates()
+    own, name = flat(docs), f"c{at}"
     if items.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] / 2 > shared_limit:
-        own = F.xxhash64(F.col(f"`{name}`"))
-        texts = docs.select(own.alias("doc_id"), F.col(f"`{name}`").alias("text")).dropDuplicates(["doc_id"])
-        hit = decontaminate(texts, benchmark, k, window, shared_limit).select(F.col("doc_id").alias("_hash")).distinct()
-        return docs.join(hit, own == F.col("_hash"), "left_anti")
+        hashed = own.withColumn("_hash", F.xxhash64(F.col(name).cast("string")))
+        texts = hashed.select(F.col("_hash").alias("doc_id"), F.col(name).alias("text")).dropDuplicates(["doc_id"])
+        hit = decontaminate(texts, items, k, window, shared_limit).select(F.col("doc_id").alias("_hash")).distinct()
+        return hashed.join(hit, "_hash", "left_anti").drop("_hash").toDF(*docs.columns)
     got = items.orderBy("item_id", "text").collect()
-    shared = docs.sparkSession.sparkContext.broadcast(([r[0] for r in got], [r[1] for r in got]))
+    shared, key = docs.sparkSession.sparkContext.broadcast(([r[0] for r in got], [r[1] for r in got])), uuid.uuid4().hex
 
     def rows(batches):
-        index = Index(*shared.value, k, window)
+        index = _index(key, shared.value, k, window)
         for b in small_batches(batches, name):
             keep = np.ones(b.num_rows, bool)
             keep[index.hits(*word_hashes(column(b, name)))[0]] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return own.mapInArrow(rows, own.schema).toDF(*docs.columns)

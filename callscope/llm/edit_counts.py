@@ -13,11 +13,11 @@ from .tokens import PATTERN, TOKENIZER, encoder
 LEAF = 64  # pre-tokens of a leaf as it is built; a leaf of twice as many is still one
 CONTEXT = 3  # a pre-token is settled by its own characters and so many after it ("'ll" is the longest that is looked for)
 _PIECES = regex.compile(PATTERN)
-MEMO_LIMIT = 200_000
+MEMO_LIMIT = 100_000
 
 #: Personal data and secrets that a scrub replaces, in order of precedence.
 SCRUB = regex.compile(
-    r"(?P<email>[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)+)|(?P<key>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-[\w-]{16,})\b)"
+    r"(?P<email>(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)+)|(?P<key>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-[\w-]{16,})\b)"
     r"|(?P<ip>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<card>\b\d{13,19}\b)|(?P<phone>(?<!\w)\+?\d{1,3}[ -]?\(\d{3}\)[ -]?\d{3}-\d{4}\b)"
 )
 
@@ -27,7 +27,7 @@ class PieceCounts(dict):
 
     def __init__(self, enc):
         super().__init__()
-        self.count = lambda p: len(enc.plain._encode_single_piece(p.encode("utf-8", "replace")))
+        self.count = lambda p: len(enc.plain.encode_ordinary(p))  # a pre-token by itself is one again
 
     def __missing__(self, piece: str) -> int:
         if len(self) >= MEMO_LIMIT:
@@ -160,7 +160,7 @@ def edited_counts(docs: DataFrame, edits: DataFrame | None = None, tokenizer: st
 
     edits has doc_id, seq, start, stop, text: applied in the order of seq (ties: by start, stop, text), each to the text as
     it then is, places clipped to it; a null text deletes. Without edits, each document's personal data and secrets are
-    replaced. Null texts count as empty; repeated rows each get all of their id's edits; edits of a null or unknown id do
+    replaced. Texts are taken whole. Null texts count as empty; repeated rows each get all of their id's edits; edits of a null or unknown id do
     nothing; other columns are ignored; an empty table gives no rows. pieces and reencoded are 0 where nothing is edited.
     """
     docs = pick(docs, doc_id="bigint", text="string")

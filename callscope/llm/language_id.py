@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, pick, sample_ids, small_batches
+from .common import by_length, column, flat, pick, place, sample_ids
 
 HIDDEN = 8
 TRAIN_DOCS, TRAIN_SPANS, SPAN = 800, 2400, 96  # bounds of the labelled sample that the network is fitted on; characters
 EPOCHS, BATCH, RATE = 5, 32, 0.01
 MIN_PROB = 0.4  # mean over all bytes; an even guess among four languages is 0.25
-CELLS = 12 << 20  # bytes times labels that are worked on at once
+CELLS = 8 << 20  # bytes times labels that are read at once
+RUN = 16_411  # bytes that are worked on at once between them
 
 
 def _sig(x):
@@ -59,73 +60,95 @@ class BiGRU:
             out[np.arange(live), at] = new
         return out, saved
 
-    def steps(self, dirs: str, x: np.ndarray, live: np.ndarray, state: np.ndarray, keep: bool = True):
-        """Last states, and the labels' scores at each cell, of packed bytes (directions, cells): live[t] rows at step t.
+    def _ready(self, dirs: str):
+        """Weights of both directions with the gates' halves folded in: a gate is (tanh + 1) / 2."""
+        h = self.hidden
+        half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype("f4")
+        E = np.stack([(self.w["E" + d] * half).T for d in dirs])
+        U = np.stack([(self.w["U" + d] * 0.5).T for d in dirs])
+        return np.ascontiguousarray(E), np.ascontiguousarray(U), np.stack([self.w["V" + d].T for d in dirs])
+
+    def steps(self, dirs: str, x: list[np.ndarray], live: np.ndarray, state: np.ndarray, keep: bool = True):
+        """Last states, and for each direction the labels' scores at each cell, of packed bytes: live[t] rows at step t.
 
-        Rows lie last in all arrays, so that numpy's loops are long: states are (hidden, directions, rows).
+        Rows lie last in all arrays, so that numpy's loops are long: states are (directions, hidden, rows). What needs no state
+        is done for a run of steps at once.
         """
-        h = self.hidden
-        E = np.concatenate([self.w["E" + d] for d in dirs]).T.copy()
-        U, V = (np.stack([self.w[k + d].T for d in dirs]) for k in "UV")
-        x = x + 256 * np.arange(len(dirs))[:, None]
-        s = np.empty((len(dirs), V.shape[1], x.shape[1]), "f4") if keep else None
-        state, at = state.copy(), 0
-        for n in live.tolist():
-            state = state[..., :n]
-            e = E.take(x[:, at : at + n], 1)
-            u = np.matmul(U, state.transpose(1, 0, 2)).transpose(1, 0, 2)
-            g = e[: 2 * h]
-            g += u[: 2 * h]
-            g *= 0.5
-            np.tanh(g, out=g)
-            g *= 0.5
-            g += 0.5
-            q = g[:h] * u[2 * h :]
-            q += e[2 * h :]
-            np.tanh(q, out=q)
-            state -= q
-            state *= g[h:]
-            state += q
+        h, (E, U, V) = self.hidden, self._ready(dirs)
+        s = [np.empty((V.shape[1], len(x[0])), "f4") for _ in dirs] if keep else None
+        state, at, t = state.copy(), 0, 0
+        first = np.append(0, np.cumsum(live))
+        while t < len(live):
+            end = max(t + 1, int(np.searchsorted(first, at + RUN, "right")) - 1)
+            cells = int(first[end] - at)
+            e = np.empty((len(dirs), 3 * h, cells), "f4")
+            for k in range(len(dirs)):
+                np.take(E[k], x[k][at : at + cells], 1, out=e[k], mode="clip")
+            seen = np.empty((len(dirs), h, cells), "f4")
+            a = 0
+            for n in live[t:end].tolist():
+                if n < state.shape[2]:
+                    state = np.ascontiguousarray(state[:, :, :n])
+                z = a + n
+                u = np.matmul(U, state)
+                g = u[:, : 2 * h]
+                g += e[:, : 2 * h, a:z]
+                np.tanh(g, out=g)
+                g += 1
+                q = g[:, :h] * u[:, 2 * h :]
+                q += e[:, 2 * h :, a:z]
+                np.tanh(q, out=q)
+                state -= q
+                state *= g[:, h:]
+                state *= 0.5
+                state += q
+                seen[:, :, a:z] = state
+                a = z
             if keep:
-                s[..., at : at + n] = np.matmul(V, state.transpose(1, 0, 2))
-            at += n
+                for k in range(len(dirs)):
+                    s[k][:, at : at + cells] = V[k] @ seen[k]
+            at, t = at + cells, end
         return state, s
 
     def _shares(self, s: np.ndarray) -> np.ndarray:
-        """(cells, labels) of scores (labels, cells)."""
+        """(labels, cells) of scores (labels, cells), in place."""
         s += self.w["v"][:, None]
         s -= s.max(0)
         np.exp(s, out=s)
         s /= s.sum(0)
-        return s.T
+        return s
 
-    def probs(self, texts: list[bytes]) -> np.ndarray:
-        """(bytes, labels) of texts that are not empty, one after the other; all texts go through the network together."""
+    def probs(self, texts: list[bytes]):
+        """(first byte, (labels, bytes)) in runs of the bytes of texts that are not empty, one after the other; all texts go
+        through the network together."""
         n = np.array(list(map(len, texts)))
         order = np.argsort(-n, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(n))
+        rank = np.empty(len(n), np.int32)
+        rank[order] = np.arange(len(n), dtype=np.int32)
         live = np.searchsorted(-n[order], -np.arange(n.max()), "left")  # rows longer than t
-        before = np.cumsum(live) - live
+        before = (np.cumsum(live) - live).astype(np.int32)
         flat = np.frombuffer(b"".join(texts), np.uint8)
-        row, step = np.repeat(rank, n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-        f, b = before[step] + row, before[np.repeat(n, n) - 1 - step] + row
-        x = np.empty((2, len(flat)), np.intp)
-        x[0, f], x[1, b] = flat, flat
-        s = self.steps("fb", x, live, np.zeros((self.hidden, 2, len(n)), "f4"))[1]
-        return self._shares(s[0].take(f, 1) + s[1].take(b, 1))
+        f, b = np.empty(len(flat), np.int32), np.empty(len(flat), np.int32)
+        for r, m, z in zip(rank.tolist(), n.tolist(), np.cumsum(n).tolist()):
+            f[z - m : z] = before[:m] + np.int32(r)
+            b[z - m : z] = f[z - m : z][::-1]
+        x = [np.empty(len(flat), np.uint8) for _ in "fb"]
+        x[0][f], x[1][b] = flat, flat
+        s = self.steps("fb", x, live, np.zeros((2, self.hidden, len(n)), "f4"))[1]
+        for a in range(0, len(flat), RUN):
+            yield a, self._shares(s[0].take(f[a : a + RUN], 1) + s[1].take(b[a : a + RUN], 1))
 
     def long_probs(self, text: bytes, room: int):
-        """The same of one text in runs of room bytes, last run first; states are carried over from run to run."""
-        runs = [np.frombuffer(text[a : a + room], np.uint8).astype(np.intp)[None] for a in range(0, len(text), room)]
-        zero = np.zeros((self.hidden, 1, 1), "f4")
+        """(labels, bytes) of one text in runs of room bytes, last run first; states are carried over from run to run."""
+        runs = [np.frombuffer(text[a : a + room], np.uint8) for a in range(0, len(text), room)]
+        zero = np.zeros((1, self.hidden, 1), "f4")
         fore, back = [zero], zero
         for x in runs[:-1]:
-            fore.append(self.steps("f", x, np.ones(x.shape[1], int), fore[-1], False)[0])
+            fore.append(self.steps("f", [x], np.ones(len(x), int), fore[-1], False)[0])
         for x, state in zip(runs[::-1], fore[::-1]):
-            one = np.ones(x.shape[1], int)
-            s = self.steps("f", x, one, state)[1][0]
-            back, t = self.steps("b", x[:, ::-1], one, back)
+            one = np.ones(len(x), int)
+            s = self.steps("f", [x], one, state)[1][0]
+            back, t = self.steps("b", [x[::-1]], one, back)
             yield self._shares(s + t[0][:, ::-1])
 
     def gradients(self, x, n, y):
@@ -202,27 +225,33 @@ class Reader:
 
     def __init__(self, model: BiGRU):
         self.model = model
-        self.room = max(1 << 16, CELLS // len(model.labels))  # bytes
+        self.room = max(1 << 16, CELLS // max(1, len(model.labels)))  # bytes
 
     def read(self, texts: list) -> tuple[np.ndarray, list[bytes]]:
         """Mean probabilities of each text (zeros if it is empty), and the label number of each of its bytes."""
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        if not self.model.labels:
+            return np.zeros((len(raw), 1)), [b""] * len(raw)
         means, labels = np.zeros((len(raw), len(self.model.labels))), [b""] * len(raw)
         short = [i for i, t in enumerate(raw) if 0 < len(t) <= self.room]
         if short:
-            p = self.model.probs([raw[i] for i in short])
             n = np.array([len(raw[i]) for i in short])
-            first = np.cumsum(n) - n
-            means[short] = np.add.reduceat(p, first, 0, dtype=np.float64) / n[:, None]
-            best = p.argmax(-1).astype(np.uint8).tobytes()
-            for i, a, z in zip(short, first.tolist(), (first + n).tolist()):
-                labels[i] = best[a:z]
+            own, best = np.repeat(np.arange(len(short), dtype=np.int32), n), np.empty(n.sum(), np.uint8)
+            for a, p in self.model.probs([raw[i] for i in short]):
+                z = a + p.shape[1]
+                best[a:z] = p.argmax(0)
+                low, high = own[a], own[z - 1] + 1
+                for k in range(len(p)):
+                    means[short[low:high], k] += np.bincount(own[a:z] - low, p[k], high - low)
+            means[short] /= n[:, None]
+            for i, a, z in zip(short, (np.cumsum(n) - n).tolist(), np.cumsum(n).tolist()):
+                labels[i] = best[a:z].tobytes()
         for i, t in enumerate(raw):
             if len(t) > self.room:
                 marks = []
                 for p in self.model.long_probs(t, self.room):
-                    means[i] += p.sum(0, dtype=np.float64) / len(t)
-                    marks.append(p.argmax(-1).astype(np.uint8).tobytes())
+                    means[i] += p.sum(1, dtype=np.float64) / len(t)
+                    marks.append(p.argmax(0).astype(np.uint8).tobytes())
                 labels[i] = b"".join(marks[::-1])
         return means, labels
 
@@ -249,11 +278,15 @@ def spans(texts: list[list[str]], n: int, r: np.random.Generator) -> tuple[list[
 
 
 def train(docs: DataFrame, max_docs: int = TRAIN_DOCS, max_spans: int = TRAIN_SPANS, hidden: int = HIDDEN, epochs: int = EPOCHS) -> BiGRU:
-    """A network fitted to spans of at most max_docs documents that carry a language, those of the least hashed ids."""
+    """A network fitted to max_spans spans of at most max_docs rows that carry a language, those of the least hashed ids.
+
+    Without such rows it knows no language, and identifies none.
+    """
     docs = pick(docs, doc_id="bigint", text="string", lang="string")
-    ids = sample_ids(docs.select("doc_id", "lang").where("lang is not null and doc_id is not null"), max_docs)
-    rows = sorted(docs.where(F.col("doc_id").isin(ids)).where("text is not null and lang is not null").collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"])) if ids else []
-    labels = sorted({r["lang"] for r in rows}) or ["und"]
+    have = docs.where("lang is not null and doc_id is not null and text is not null")
+    last = sample_ids(have.select("doc_id"), max_docs)
+    rows = sorted(have.where(F.col("doc_id").isin(last)).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text")).limit(max_docs).collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"])) if last else []
+    labels = sorted({r["lang"] for r in rows})
     model = BiGRU(labels, hidden)
     texts = [(k, [r["text"] for r in rows if r["lang"] == lab and r["text"]]) for k, lab in enumerate(labels)]
     texts = [(k, t) for k, t in texts if t]
@@ -269,8 +302,9 @@ def identify(docs: DataFrame, model: BiGRU | None = None, min_prob: float = MIN_
 
     labels has one byte for each byte of the UTF-8 text: the number of its language in languages. A document is accepted if
     the mean probability of its best language is at least min_prob; ties go to the language first in alphabetical order.
-    Null and empty texts have no language, prob 0, empty labels, and are not accepted. Repeated rows and null ids are kept;
-    other columns are ignored; an empty table gives no rows.
+    Null and empty texts have no language, prob 0, empty labels, and are not accepted; nor is any text if no row that could
+    be learned from carries a language. With one language only, every text is in it. Texts are read whole: long ones in runs that carry
+    the states over. Repeated rows and null ids are kept; other columns are ignored; an empty table gives no rows.
     """
     docs = pick(docs, doc_id="bigint", text="string", lang="string")
     model = model or train(docs)
@@ -281,7 +315,7 @@ def identify(docs: DataFrame, model: BiGRU | None = None, min_prob: float = MIN_
         net = BiGRU(labels, hidden)
         net.w = w
         reader = Reader(net)
-        for b in small_batches(batches, limit=reader.room):
+        for b in by_length(batches, limit=reader.room):
             probs, marks = reader.read(column(b, "text"))
             best = probs.argmax(1)
             top = probs[np.arange(len(best)), best]
@@ -290,7 +324,7 @@ def identify(docs: DataFrame, model: BiGRU | None = None, min_prob: float = MIN_
                     b.column(0),
                     pa.array([labels[k] if p > 0 else None for k, p in zip(best, top)], pa.string()),
                     pa.array(top, pa.float64()),
-                    pa.array(top >= min_prob, pa.bool_()),
+                    pa.array((top >= min_prob) & (top > 0), pa.bool_()),
                     pa.array(list(probs), pa.list_(pa.float64())),
                     pa.array([labels] * len(best), pa.list_(pa.string())),
                     pa.array(marks, pa.binary()),
@@ -302,19 +336,25 @@ def identify(docs: DataFrame, model: BiGRU | None = None, min_prob: float = MIN_
 
 
 def accepted(docs: DataFrame, min_prob: float = MIN_PROB, model: BiGRU | None = None) -> DataFrame:
-    """The rows whose text is accepted, with all their columns as they were."""
+    """The rows whose text is accepted (see identify), with all their columns as they were, whatever their names.
+
+    Null and empty texts go; repeated rows and null ids stay or go by their text; without a text column, or without any
+    language to learn from, no row is left; an empty table gives an empty table.
+    """
+    at = place(docs, "text")
+    if at is None:
+        return docs.limit(0)
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.hidden, model.w))
-    name = next((c for c in docs.columns if c.lower() == "text"), None)
-    if name is None:
-        return docs.limit(0)
+    own, name = flat(docs), f"c{at}"
 
     def rows(batches):
         labels, hidden, w = shared.value
         net = BiGRU(labels, hidden)
         net.w = w
         reader = Reader(net)
-        for b in small_batches(batches, name, reader.room):
-            yield b.filter(pa.array(reader.read(column(b, name))[0].max(1) >= min_prob))
+        for b in by_length(batches, name, reader.room):
+            p = reader.read(column(b, name))[0].max(1)
+            yield b.filter(pa.array((p >= min_prob) & (p > 0)))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return own.mapInArrow(rows, own.schema).toDF(*docs.columns)

@@ -71,10 +71,11 @@ def densest(pairs: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Templates as word numbers; a text is looked at in windows of one and a half times a template's length.
+    """Templates as word numbers; a text is looked at in windows that start a quarter of a template's length apart.
 
-    Windows start a quarter of it apart, so each occurrence that is stretched by up to a quarter lies whole in one. Windows
-    that can't reach the coverage, as too few of the template's words are in them, are passed over: none is lost by it.
+    The wider ones hold whole any occurrence that is as stretched as the density allows; narrower ones, of one and a half
+    times the length, tell repeated notices apart. Windows that can't reach the coverage, as too few of the template's words
+    are in them, are passed over: none is lost by it.
     """
 
     def __init__(self, templates: dict[str, list[str]], min_coverage: float, min_density: float):
@@ -92,7 +93,7 @@ class Scanner:
         self.need = np.array([int(np.ceil(min_coverage * len(t) - 1e-9)) for t in self.lists], np.int64)
 
     def scan(self, text: str | None) -> list[tuple[str, float, float, int, int]]:
-        """(license, coverage, density, first word, words) of each license that is found, at the best place left to it."""
+        """(license, coverage, density, first word, words) of each place where a license is found."""
         if not text or not self.lists:
             return []
         w = words(text)
@@ -100,23 +101,24 @@ class Scanner:
         there = np.bincount(ids[ids >= 0], minlength=len(self.number))
         places = set()
         for k in np.flatnonzero(np.minimum(there, self.counts).sum(1) >= self.need).tolist():
-            places.update((-got[0] * got[1], -got[3], got[2], self.names[k], got) for got in self._windows(ids, k))
+            m, step = len(self.lists[k]), max(1, len(self.lists[k]) // 4)
+            for wide in {m + (m + 1) // 2, int(np.ceil(m / self.density)) + step}:
+                places.update((-got[0] * got[1], -got[3], got[2], self.names[k], got) for got in self._windows(ids, k, wide, step))
         starts: list[int] = []
         ends: list[int] = []
-        out: dict[str, tuple] = {}
+        out: list[tuple] = []
         for *_, name, got in sorted(places):
             i = bisect_left(starts, got[2])
             if (i and ends[i - 1] > got[2]) or (i < len(starts) and starts[i] < got[2] + got[3]):
                 continue
             starts.insert(i, got[2])
             ends.insert(i, got[2] + got[3])
-            out.setdefault(name, (name, *got))
-        return sorted(out.values())
+            out.append((name, *got))
+        return sorted(out, key=lambda r: (r[0], r[3]))
 
-    def _windows(self, ids: np.ndarray, k: int):
+    def _windows(self, ids: np.ndarray, k: int, wide: int, step: int):
         t, need = self.lists[k], int(self.need[k])
         m = len(t)
-        wide, step = m + (m + 1) // 2, max(1, m // 4)
         inside = np.append(0, np.cumsum((ids >= 0) & (self.counts[k][np.maximum(ids, 0)] > 0)))
         starts = np.arange(0, max(1, len(ids) - wide + step), step)
         stops = np.minimum(starts + wide, len(ids))
@@ -134,12 +136,12 @@ class Scanner:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, min_coverage: float = MIN_COVERAGE, min_density: float = MIN_DENSITY) -> DataFrame:
-    """One row for each license found in a document: doc_id, license, coverage, density, first_word, n_words.
+    """One row for each place where a license is found in a document: doc_id, license, coverage, density, first_word, n_words.
 
     coverage is the share of the template's words that are aligned, density the share of aligned words in the run of the
     text (first_word, from 0, and n_words) that they lie in. Of all places of all templates that overlap, that of the greatest
-    product of both counts, then the longest, then the first; of a license's places that are left likewise. Words are lower-cased and punctuation is ignored. Null and empty texts give no
-    rows; repeated rows give their rows each; null ids are kept; other columns are ignored; an empty table gives no rows.
+    product of both counts, then the longest, then the first, then the first name. Words are lower-cased and punctuation is
+    ignored. Texts are taken whole, of any length. Null and empty texts give no rows; repeated rows give their rows each; null ids are kept; other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)
 

@@ -16,8 +16,9 @@ from .common import column, pick, small_batches, written
 from .tokens import TOKENIZER, encoder
 
 BLOCK, SHARD, ALPHA, SEED = 1024, 256, 0.5, 20240
-GROUP = 1024  # shards whose counts are summed before they reach the driver
-HELD = 20_000  # sources of which a task keeps a block that is not full; of more, it hands on what it has
+GROUP, GROUPS = 1024, 4096  # shards that are planned at once; sums of counts that reach the driver at most, for each source
+SENT = 500_000  # rows that are broadcast
+HELD = 20_000  # sources of which a task keeps a block that is not full; of more, it hands on what it has to be packed again
 LAST = 2**31 - 1  # the part of blocks made of what tasks have left
 BLOCKS = "source string, part int, seq bigint, lang string, n int, ids binary"
 
@@ -160,6 +161,7 @@ def plan(spark, sources: list[tuple[str, int, float]], slots: int, shard: int, s
     shards is the k-th of its permutation, and each time around the permutation is another."""
     shares, sizes, names = np.array([p for *_, p in sources]), [n for _, n, _ in sources], [s for s, *_ in sources]
     shards = -(-slots // shard)
+    wide = GROUP * max(1, -(-shards // (GROUP * GROUPS)))
 
     def take(j):
         return draw(j, min(shard, slots - j * shard), shares, seed)
@@ -167,11 +169,10 @@ def plan(spark, sources: list[tuple[str, int, float]], slots: int, shard: int, s
     def sums(batches):
         for b in batches:
             g = b.column(0).to_numpy()
-            total = [sum(take(j) for j in range(int(x) * GROUP, min(shards, (int(x) + 1) * GROUP))).tolist() for x in g]
+            total = [sum(take(j) for j in range(int(x) * wide, min(shards, (int(x) + 1) * wide))).tolist() for x in g]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.list_(pa.int64()))], ["id", "n"])
 
-    tasks = max(1, min(-(-shards // GROUP), 100_000))
-    groups = spark.range(0, -(-shards // GROUP), 1, tasks)
+    groups = spark.range(0, -(-shards // wide), 1, max(1, -(-shards // wide)))
     got = sorted(groups.mapInArrow(sums, "id bigint, n array<bigint>").collect())
     before = np.concatenate([np.zeros((1, len(names)), np.int64), np.cumsum([r[1] for r in got], 0)])
     shared = spark.sparkContext.broadcast(before)
@@ -180,24 +181,25 @@ def plan(spark, sources: list[tuple[str, int, float]], slots: int, shard: int, s
         for b in batches:
             for x in b.column(0).to_pylist():
                 at = shared.value[x].copy()
-                out = []
-                for j in range(x * GROUP, min(shards, (x + 1) * GROUP)):
-                    c = take(j)
-                    order = np.random.default_rng([seed, j, 1]).permutation(int(c.sum()))
-                    src = np.repeat(np.arange(len(c)), c)
-                    k = np.arange(len(src)) - np.repeat(np.cumsum(c) - c, c) + at[src]
-                    out.append(np.stack([np.full(len(src), j), order, src, k], 1))
-                    at += c
-                r = np.concatenate(out)
-                index = np.empty(len(r), np.int64)
-                for s in np.unique(r[:, 2]):
-                    own = r[:, 2] == s
-                    turn, place = r[own, 3] // sizes[s], r[own, 3] % sizes[s]
-                    found = np.empty(len(place), np.int64)
-                    for t in np.unique(turn):
-                        found[turn == t] = permute(place[turn == t], sizes[s], key(seed, names[s], int(t)))
-                    index[own] = found
-                yield pa.RecordBatch.from_arrays([pa.array(r[:, 0]), pa.array(r[:, 1].astype(np.int32)), pa.array([names[s] for s in r[:, 2]], pa.string()), pa.array(index)], ["shard", "slot", "source", "index"])
+                for low in range(x * wide, min(shards, (x + 1) * wide), GROUP):
+                    out = []
+                    for j in range(low, min(shards, (x + 1) * wide, low + GROUP)):
+                        c = take(j)
+                        order = np.random.default_rng([seed, j, 1]).permutation(int(c.sum()))
+                        src = np.repeat(np.arange(len(c)), c)
+                        k = np.arange(len(src)) - np.repeat(np.cumsum(c) - c, c) + at[src]
+                        out.append(np.stack([np.full(len(src), j), order, src, k], 1))
+                        at += c
+                    r = np.concatenate(out)
+                    index = np.empty(len(r), np.int64)
+                    for s in np.unique(r[:, 2]):
+                        own = r[:, 2] == s
+                        turn, spot = r[own, 3] // sizes[s], r[own, 3] % sizes[s]
+                        found = np.empty(len(spot), np.int64)
+                        for t in np.unique(turn):
+                            found[turn == t] = permute(spot[turn == t], sizes[s], key(seed, names[s], int(t)))
+                        index[own] = found
+                    yield pa.RecordBatch.from_arrays([pa.array(r[:, 0]), pa.array(r[:, 1].astype(np.int32)), pa.array([names[s] for s in r[:, 2]], pa.string()), pa.array(index)], ["shard", "slot", "source", "index"])
 
     return groups.mapInArrow(rows, "shard bigint, slot int, source string, index bigint")
 
@@ -211,7 +213,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     the source "". Null and empty texts give no tokens; repeated rows count as often as they occur; other columns are
     ignored; an empty table, or one without weighted sources, gives no rows. A source weighted beyond its blocks repeats
     them in another order each time around. Blocks are cut in the order rows are read, and written before they are indexed; at most
-    one block a source is not full, however the rows are laid out.
+    one block a source is not full, however the rows are laid out. Texts are taken whole.
     """
     spark = docs.sparkSession
     made = blocks(docs, block, tokenizer)
@@ -222,15 +224,18 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     out = "shard bigint, slot int, source string, index bigint, lang string, n_tokens int, ids binary"
     if not sources:
         return spark.createDataFrame([], out)
+    first = F.broadcast(first) if count.count() <= SENT else first.hint("merge")
     numbered = made.join(first, ["source", "part"]).select("source", (F.col("before") + F.col("seq")).alias("index"), "lang", F.col("n").alias("n_tokens"), "ids")
     wanted = plan(spark, sources, sum(sizes.values()) if slots is None else slots, shard, seed)
-    return wanted.join(numbered, ["source", "index"]).select(*[f.split()[0] for f in out.split(", ")])
+    # both sides have a row a slot or block: neither may be sent whole, whatever their sizes are guessed to be
+    return wanted.hint("merge").join(numbered.hint("merge"), ["source", "index"]).select(*[f.split()[0] for f in out.split(", ")])
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, tokenizer: str = TOKENIZER, **kw) -> DataFrame:
     """The same as documents, one a slot: doc_id is its number over all shards, and the text is its block's.
 
-    End ids between documents become line ends.
+    End ids between documents become line ends. Nulls, empty and repeated rows, clashing columns and empty tables as in mix; the columns are
+    those of documents.
     """
 
     def rows(batches):

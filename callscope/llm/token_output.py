@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, column, pick, small_batches, written
+from .common import binary_array, column, kept, pick, small_batches, written
 from .tokens import TOKENIZER, encoder
 
 _LENS = np.array([[1 + ((c >> (2 * i)) & 3) for i in range(4)] for c in range(256)], np.int64)
@@ -47,15 +47,37 @@ def unpack(n: int, control: bytes, data: bytes) -> np.ndarray:
     return out
 
 
-def token_output(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row a document: doc_id, n_tokens, control, data (binary), n_vocab.
+def token_output(docs: DataFrame, tokenizer: str = TOKENIZER, beside: str | None = None) -> DataFrame:
+    """One row a document: doc_id, n_tokens, control, data (binary), n_vocab, ranking.
 
     Ids are ranks: 0 for the token most frequent over all documents; ties go to the smaller token id; tokens that never
-    occur come last by id. `ranking` gives the same order. Null and empty texts give 0 tokens and empty streams; repeated
-    rows and null ids are kept as they are; other columns are dropped; an empty table gives no rows.
+    occur come last by id. ranking names a Parquet table (rank, token_id, n) that says which token each rank is: it is
+    written to the path `beside`, or to the shared folder, and stays there; `decoded` reads both. Null and empty texts give 0 tokens and
+    empty streams; repeated rows and null ids are kept as they are; texts are taken whole; other columns are dropped; an empty table
+    gives no rows.
     """
+    spark = docs.sparkSession
     ids = written(_ids(docs, tokenizer), "token-ids")
-    return encode_ids(ids, ranking(ids, tokenizer))
+    rank, n = ranking(ids, tokenizer)
+    beside = beside or kept(spark, "token-ranking")
+    order = np.argsort(rank)
+    spark.createDataFrame(pa.table({"rank": np.arange(len(rank), dtype=np.int64), "token_id": order.astype(np.int64), "n": n[order]})).coalesce(1).write.mode("overwrite").parquet(beside)
+    return encode_ids(ids, rank, beside)
+
+
+def decoded(output: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, text) of token_output's rows, by the rankings that they name."""
+    spark = output.sparkSession
+    paths = [r[0] for r in output.select("ranking").distinct().collect()]
+    shared = spark.sparkContext.broadcast({p: spark.read.parquet(p).orderBy("rank").toArrow()["token_id"].to_numpy() for p in paths})
+
+    def rows(batches):
+        enc = encoder(tokenizer)
+        for b in small_batches(batches, "data"):
+            text = [enc.decode(shared.value[p][unpack(n, c, d)]).decode("utf-8", "replace") for n, c, d, p in zip(*(column(b, c) for c in ("n_tokens", "control", "data", "ranking")))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
+
+    return output.select("doc_id", "n_tokens", "control", "data", "ranking").mapInArrow(rows, "doc_id bigint, text string")
 
 
 def _ids(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -68,8 +90,8 @@ def _ids(docs: DataFrame, tokenizer: str) -> DataFrame:
     return pick(docs, doc_id="bigint", text="string").mapInArrow(rows, "doc_id bigint, ids binary")
 
 
-def ranking(ids: DataFrame, tokenizer: str = TOKENIZER) -> np.ndarray:
-    """rank[token id], from counts over all documents; what reaches the driver has the size of the vocabulary."""
+def ranking(ids: DataFrame, tokenizer: str = TOKENIZER) -> tuple[np.ndarray, np.ndarray]:
+    """rank[token id] and how often it occurs, from counts over all documents; what reaches the driver has the size of the vocabulary."""
     size = encoder(tokenizer).size + 1
 
     def count(batches):
@@ -88,10 +110,10 @@ def ranking(ids: DataFrame, tokenizer: str = TOKENIZER) -> np.ndarray:
     n[got["id"].to_numpy()] = got["n"].to_numpy()
     rank = np.empty(size, np.uint32)
     rank[np.lexsort((np.arange(size), -n))] = np.arange(size, dtype=np.uint32)
-    return rank
+    return rank, n
 
 
-def encode_ids(ids: DataFrame, rank: np.ndarray) -> DataFrame:
+def encode_ids(ids: DataFrame, rank: np.ndarray, beside: str) -> DataFrame:
     shared = ids.sparkSession.sparkContext.broadcast(rank)
 
     def rows(batches):
@@ -101,11 +123,11 @@ def encode_ids(ids: DataFrame, rank: np.ndarray) -> DataFrame:
             off = np.cumsum(np.array([0, *(len(x or b"") // 2 for x in raw)], np.int64))
             control, coff, data, doff = pack(r[np.frombuffer(b"".join(x or b"" for x in raw), "<u2")], off)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(off), pa.int64()), binary_array(control, coff), binary_array(data, doff), pa.array(np.full(len(raw), len(r)), pa.int32())],
-                ["doc_id", "n_tokens", "control", "data", "n_vocab"],
+                [b.column(0), pa.array(np.diff(off), pa.int64()), binary_array(control, coff), binary_array(data, doff), pa.array(np.full(len(raw), len(r)), pa.int32()), pa.array([beside] * len(raw), pa.string())],
+                ["doc_id", "n_tokens", "control", "data", "n_vocab", "ranking"],
             )
 
-    return ids.mapInArrow(rows, "doc_id bigint, n_tokens bigint, control binary, data binary, n_vocab int")
+    return ids.mapInArrow(rows, "doc_id bigint, n_tokens bigint, control binary, data binary, n_vocab int, ranking string")
 
 
 def decode(n: int, control: bytes, data: bytes, rank: np.ndarray) -> np.ndarray:

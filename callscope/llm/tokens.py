@@ -11,7 +11,7 @@ import tiktoken
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_LIMIT = 200_000
+MEMO_LIMIT = 100_000
 
 
 class Encoder:

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
-import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, pick, written
+from .common import discard, pick, written
 
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.003, 0.5, 4
-LEAST = 3  # rejected pages a rule rests on, however few are labelled
+MIN_SUPPORT, MIN_CONFIDENCE = 5, 0.5  # rejected pages that a rule rests on, however many are labelled
+SENT = 50_000  # rules that are broadcast; more are joined
 BAD = "!"  # the item of a rejected page; no token begins like this
-OUT = "page_id bigint, blocked boolean, confidence double, support bigint, rule array<string>, n_rules int"
 
 
 def tokens(url: Column) -> Column:
@@ -38,80 +34,76 @@ def _labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.join(bad, pages["page_id"] == bad["doc_id"]).select("page_id", "tokens", "bad")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> list[tuple[tuple[str, ...], float, int]]:
-    """(tokens, confidence, rejected pages) of the rules that are left after pruning, best first.
+def mine(labelled: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(rule, confidence, support) of the rules that are left after pruning, written. rule has sorted tokens.
 
-    A rule holds if its tokens and a rejection meet on at least max(LEAST, min_support x labelled pages) pages, and at
-    least min_confidence of the pages with its tokens are rejected. It is pruned if fewer of its tokens have as high a
-    confidence. Tokens that occur on the very same labelled pages are mined as one. As support is a share, the number of
-    rules that reach the driver has a bound that the data's size doesn't move.
+    A rule holds if its tokens and a rejection meet on at least min_support labelled pages, and at least min_confidence of
+    the pages with its tokens are rejected. It is pruned if fewer of its tokens have as high a confidence, so combinations
+    go on as long as confidence rises. Tokens that occur on the very same labelled pages are mined as one.
     """
-    n = labelled.count()
-    if not n:
-        return []
-    least = max(LEAST, math.ceil(min_support * n - 1e-9))
     flat = labelled.select("page_id", "bad", F.explode("tokens").alias("token"))
     seen = flat.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("b"), F.bit_xor(F.xxhash64("page_id")).alias("x"), F.bit_xor(F.xxhash64("page_id", F.lit(1))).alias("y"))
-    common = seen.where(F.col("b") >= least)
-    alike = common.groupBy("n", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("all"))
-    classes = {r["all"][0]: tuple(r["all"]) for r in alike.select("all").collect()}
-    if not classes:
-        return []
-    first = labelled.sparkSession.createDataFrame([(c,) for c in classes], "token string")
-    kept = flat.join(F.broadcast(first), "token").groupBy("page_id", "bad").agg(F.collect_list("token").alias("t"))
-    items = kept.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items"))
-    share = max(1e-12, (least - 0.5) / max(1, kept.count()))
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, share)).fit(items).freqItemsets.where(F.size("items") <= max_tokens + 1)
-    got = {frozenset(r["items"]): r["freq"] for r in sets.collect()}
-    found = {s - {BAD}: f for s, f in got.items() if BAD in s and len(s) > 1}
-    rules = {s: f / got[s] for s, f in found.items() if len(s) <= max_tokens and f >= min_confidence * got[s] - 1e-12}
-    out: list[tuple[tuple[str, ...], float, int]] = []
-    for s in sorted(rules, key=lambda s: (len(s), sorted(s))):
-        if not any(t < s and rules[t] >= rules[s] for t in rules):
-            out.append((tuple(sorted(x for c in s for x in classes[c])), rules[s], found[s]))
-    return sorted(out, key=lambda r: (-r[1], -r[2], r[0]))
-
-
-class Index:
-    """Rules by one of their tokens, the one that the fewest rules have."""
-
-    def __init__(self, rules: list[tuple[tuple[str, ...], float, int]]):
-        self.rules = rules
-        often: dict[str, int] = {}
-        for t, *_ in rules:
-            for x in t:
-                often[x] = often.get(x, 0) + 1
-        self.by: dict[str, list[tuple[int, frozenset]]] = {}
-        for k, (t, *_) in enumerate(rules):
-            self.by.setdefault(min(t, key=lambda x: (often[x], x)), []).append((k, frozenset(t)))
-
-    def match(self, own: list[str]) -> list[int]:
-        """Numbers of the rules whose tokens are all there, best first."""
-        have = set(own)
-        return sorted(k for x in own for k, s in self.by.get(x, ()) if s <= have)
-
-
-def url_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    alike = written(seen.where(F.col("b") >= min_support).groupBy("n", "x", "y").agg(F.array_sort(F.collect_list("token")).alias("all")).select(F.col("all")[0].alias("token"), "all"), "token-classes")
+    kept = flat.join(alike.select("token"), "token").groupBy("page_id", "bad").agg(F.collect_list("token").alias("t"))
+    items = written(kept.select(F.when(F.col("bad"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items")), "url-items")
+    n = items.count()
+    schema = "rule array<string>, confidence double, support bigint"
+    if not n:
+        return labelled.sparkSession.createDataFrame([], schema)
+    share = min(1.0, max(1e-12, (min_support - 0.5) / n))
+    sets = written(FPGrowth(itemsCol="items", minSupport=share).fit(items).freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-sets")
+    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("support"))
+    odds = written(bad.join(sets, "items").select("items", "support", (F.col("support") / F.col("freq")).alias("confidence")), "url-odds")
+    sizes = sorted(r[0] for r in odds.select(F.size("items").alias("k")).distinct().collect())
+    levels, below = [], None
+    for k in sizes:  # best: the highest confidence of a set or of any part of it
+        own = odds.where(F.size("items") == k)
+        if below is None:
+            level = own.withColumn("part", F.lit(-1.0))
+        else:
+            parts = own.select(F.col("items").alias("whole"), F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("items"))
+            level = own.join(parts.join(below, "items").groupBy("whole").agg(F.max("best").alias("part")).withColumnRenamed("whole", "items"), "items")
+        levels.append(written(level.withColumn("best", F.greatest("confidence", "part")), "url-level"))
+        below = levels[-1].select("items", "best")
+    found = None
+    for level in levels:
+        own = level.where((F.col("confidence") >= min_confidence - 1e-12) & (F.col("confidence") > F.col("part")))
+        found = own if found is None else found.union(own)
+    if found is None:
+        return labelled.sparkSession.createDataFrame([], schema)
+    whole = found.select("items", "confidence", "support", F.explode("items").alias("token")).join(alike, "token").groupBy("items", "confidence", "support").agg(F.array_sort(F.flatten(F.collect_list("all"))).alias("rule"))
+    out = written(whole.select("rule", "confidence", "support"), "url-rules")
+    discard(alike, items, sets, odds, *levels)
+    return out
+
+
+def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """tokens, best (confidence, support, rule) and n_rules of each set of tokens that a rule fits.
+
+    The inverted index has a rule under the one of its tokens that the fewest rules have.
+    """
+    one = rules.select("*", F.explode("rule").alias("token"))
+    often = one.groupBy("token").agg(F.count("*").alias("often"))
+    index = one.join(often, "token").groupBy("rule", "confidence", "support").agg(F.min(F.struct("often", "token")).alias("key")).select(F.col("key.token").alias("key"), "rule", "confidence", "support")
+    index = F.broadcast(index) if rules.count() <= SENT else index
+    asked = pages.select("tokens").where(F.size("tokens") > 0).distinct().select("tokens", F.explode("tokens").alias("key"))
+    hits = asked.join(index, "key").where(F.size(F.array_except("rule", "tokens")) == 0)
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.col("rule").alias("rule"))).alias("best")
+    return hits.groupBy("tokens").agg(best, F.count("*").cast("int").alias("n_rules"))
+
+
+def url_rules(pages: DataFrame, labels: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """One row a page: page_id, blocked, and of the best rule that fits confidence, support, its tokens; n_rules that fit.
 
     labels (doc_id, quality, toxic) are those of the page of that id; quality 0 or toxic 1 is a rejection. The best rule
     has the highest confidence, then support, then the first tokens. Null and empty URLs have no tokens and are never
-    blocked; null labels reject nothing; repeated pages and null ids are kept, but a repeated page teaches once; other
-    columns are ignored; without pages there are no rows, without labels no page is blocked.
+    blocked; URLs of any length are taken whole; null labels reject nothing; repeated pages and null ids are kept, but a repeated page
+    teaches once; other columns are ignored; without pages there are no rows, without labels no page is blocked.
     """
     pages = pick(pages, page_id="bigint", url="string").select("page_id", tokens(F.col("url")).alias("tokens"))
     labels = pick(labels, doc_id="bigint", quality="int", toxic="int").where("doc_id is not null")
-    rules = mine(written(_labelled(pages, labels).distinct(), "labelled-urls"), min_support, min_confidence, max_tokens)
-    shared = pages.sparkSession.sparkContext.broadcast(rules)
-
-    def rows(batches):
-        index = Index(shared.value)
-        for b in batches:
-            hit = [index.match(x or []) for x in column(b, "tokens")]
-            best = [index.rules[h[0]] if h else ((), None, None) for h in hit]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([bool(h) for h in hit]), pa.array([r[1] for r in best], pa.float64()), pa.array([r[2] for r in best], pa.int64()), pa.array([list(r[0]) for r in best], pa.list_(pa.string())), pa.array([len(h) for h in hit], pa.int32())],
-                ["page_id", "blocked", "confidence", "support", "rule", "n_rules"],
-            )
-
-    return pages.mapInArrow(rows, OUT)
+    labelled = written(_labelled(pages, labels).distinct(), "labelled-urls")
+    hit = matched(pages, mine(labelled, min_support, min_confidence))
+    out = pages.join(hit, "tokens", "left")
+    discard(labelled)
+    return out.select("page_id", F.col("best").isNotNull().alias("blocked"), (-F.col("best.c")).alias("confidence"), (-F.col("best.s")).alias("support"), F.coalesce("best.rule", F.array().cast("array<string>")).alias("rule"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"))

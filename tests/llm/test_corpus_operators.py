@@ -62,6 +62,8 @@ def test_token_output(docs, empty):
         np.add.at(counts, enc.plain.encode_ordinary(r[1] or ""), 1)
     assert (np.argsort(rank) == np.lexsort((np.arange(len(rank)), -counts))).all()
     assert token_output.token_output(empty).count() == 0
+    text = lambda rows: sorted((r[0] or -1, r[1] or "") for r in rows)
+    assert text(token_output.decoded(token_output.token_output(docs)).collect()) == text(corpus())
 
 
 @pytest.mark.parametrize("text", ["", " a", "a  b", "a\n b ", "x 'll y", "é  1  2"])
@@ -96,6 +98,8 @@ def test_language(spark, docs, empty):
     assert len(odd) == 2 and not any(r["accepted"] or r["language"] for r in odd)
     assert language_id.identify(empty).count() == 0
     assert language_id.accepted(docs, model=model).columns == docs.columns
+    none = language_id.identify(docs.drop("lang")).collect()
+    assert len(none) == docs.count() and not any(r["accepted"] or r["language"] for r in none) and language_id.accepted(docs.drop("lang")).count() == 0
 
 
 def test_language_reads_the_whole_text(spark):
@@ -114,7 +118,7 @@ def test_language_reads_the_whole_text(spark):
         if t:
             assert means[i] == pytest.approx(want[t.encode()].mean(0), abs=1e-5) and cut[i] == pytest.approx(means[i], abs=1e-5)
             assert list(labels[i]) == want[t.encode()].argmax(-1).tolist() and cut_labels[i] == labels[i]
-    alone, after = (m.probs([t])[-4:] for t in (b"word", b"so on word"))
+    alone, after = (next(m.probs([t]))[1][:, -4:] for t in (b"word", b"so on word"))
     assert np.abs(alone - after).max() > 1e-4
 
 
@@ -306,7 +310,7 @@ def test_neighbours_of_few(spark):
     assert [(r["vec_id"], r["rank"], r["neighbour"]) for r in sorted(got)] == [(20, 1, 1), (20, 2, 2)] and got[0]["distance"] == 0.5
 
 
-def test_url_rules(spark):
+def test_url_rules(spark, monkeypatch):
     r = random.Random(3)
     pages, labels = [], []
     for i in range(300):
@@ -315,25 +319,41 @@ def test_url_rules(spark):
         labels.append((i, int(not (spam and i % 2)), 0))
     pages += [(400, None), (401, ""), (None, pages[0][1])]
     p, lab = spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
-    toks = {x["page_id"]: set(x["t"]) for x in p.select("page_id", url_rules.tokens(p["url"]).alias("t")).collect() if x["page_id"] is not None}
-    bad = {i for i, q, _ in labels if q == 0}
-    found = url_rules.mine(url_rules._labelled(p.select("page_id", url_rules.tokens(p["url"]).alias("tokens")), lab).distinct(), 0.01)
-    assert found
-    for rule, conf, n in found:
-        have = {i for i in range(300) if set(rule) <= toks[i]}
-        assert n == len(have & bad) >= 3 and conf == pytest.approx(n / len(have)) and conf >= 0.5
-    singles = {t for t in set().union(*toks.values()) if len(b := {i for i in range(300) if t in toks[i]}) and len(b & bad) >= max(3, 0.01 * 300) and len(b & bad) >= 0.5 * len(b)}
-    assert all(any(set(rule) <= toks[i] for rule, *_ in found) for i in range(300) if toks[i] & singles)
-    got = {x["page_id"]: x for x in url_rules.url_rules(p, lab, 0.01).collect()}
-    assert all(got[i]["blocked"] == any(set(rule) <= toks[i] for rule, *_ in found) for i in toks)
-    assert not got[400]["blocked"] and not url_rules.url_rules(p, lab.limit(0)).where("blocked").count()
+    toks = {x["page_id"]: frozenset(x["t"]) for x in p.select("page_id", url_rules.tokens(p["url"]).alias("t")).collect() if x["page_id"] is not None}
+    bad, seen = {i for i, q, _ in labels if q == 0}, {i: toks[i] for i in range(300)}
+    # all combinations of tokens by brute force
+    freq, hit = {}, {}
+    for i, own in seen.items():
+        for k in range(1, len(own) + 1):
+            for c in itertools.combinations(sorted(own), k):
+                freq[c] = freq.get(c, 0) + 1
+                hit[c] = hit.get(c, 0) + (i in bad)
+    odds = {c: hit[c] / n for c, n in freq.items() if hit[c] >= 4}
+    holds = {c for c, v in odds.items() if v >= 0.5}
+    found = {tuple(x["rule"]): (x["confidence"], x["support"]) for x in url_rules.mine(url_rules._labelled(p.select("page_id", url_rules.tokens(p["url"]).alias("tokens")), lab).distinct(), 4).collect()}
+    assert found and all(found[c] == (pytest.approx(odds[c]), hit[c]) for c in found)
+    closed = lambda c: frozenset.intersection(*(own for own in seen.values() if set(c) <= own))
+    least = {c for c in holds if not any(odds[t] >= odds[c] for k in range(1, len(c)) for t in itertools.combinations(c, k))}
+    alone = {t: frozenset(i for i in seen if t in seen[i]) for own in seen.values() for t in own}
+    twins = {t: {u for u in alone if alone[u] == alone[t]} for t in alone}
+    assert {tuple(sorted(set().union(*(twins[t] for t in c)))) for c in least} == set(found) and all(set(c) <= closed(c) for c in found)
+    got = {x["page_id"]: x for x in url_rules.url_rules(p, lab, 4).collect()}
+    for i, own in toks.items():
+        fit = sorted((-v[0], -v[1], c) for c, v in found.items() if set(c) <= own)
+        assert got[i]["blocked"] == bool(fit) and got[i]["n_rules"] == len(fit) and (not fit or (-got[i]["confidence"], -got[i]["support"], tuple(got[i]["rule"])) == fit[0])
+    assert len(got) == len(toks) + 1 and not got[400]["blocked"] and not got[401]["blocked"]
+    assert not url_rules.url_rules(p, lab.limit(0)).where("blocked").count() and url_rules.url_rules(p.limit(0), lab).count() == 0
+    monkeypatch.setattr(url_rules, "SENT", 0)
+    assert {x["page_id"]: x for x in url_rules.url_rules(p, lab, 4).collect()} == got
 
 
 def test_licenses(spark, empty):
     mit = license_scan.TEMPLATES["MIT"]
     noise = "lorem ipsum dolor the of under and " * 200
     rows = [(1, noise + mit[0] + ". " + noise), (2, f"{mit[0]}. {mit[0]}. {mit[0]}."), (3, noise), (4, None), (5, ""), (6, mit[1].replace("publish,", "print,"))]
-    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = license_scan.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [r["first_word"] for r in sorted(found) if r["doc_id"] == 2] == [0, len(words(mit[0])), 2 * len(words(mit[0]))]
+    got = {r["doc_id"]: r for r in found}
     assert set(got) == {1, 2, 6} and got[1]["coverage"] == 1.0 and got[1]["first_word"] == len(words(noise)) and 0.95 < got[6]["coverage"] < 1
     assert license_scan.license_scan(empty).count() == 0
 
@@ -347,6 +367,26 @@ def test_licenses_have_second_places():
     assert [r[0] for r in got] == ["BY", "SA"] and got[0][3] >= 74 and got[1][3] == 0
 
 
+def test_windows_find_what_the_whole_text_has():
+    """One varied notice among other words: as patience alignment of the whole text with the template finds it."""
+    r = random.Random(7)
+    for case in range(80):
+        m = r.randrange(8, 120)
+        template = [f"t{r.randrange(m)}" for _ in range(m)]
+        own = [w for w in template if r.random() > 0.05]
+        for _ in range(int(r.choice([0, 0.1, 0.3, 0.5]) * m)):
+            own.insert(r.randrange(len(own) + 1), f"x{r.randrange(9)}")
+        text = [f"n{r.randrange(50)}" for _ in range(r.randrange(0, 400))] + own + [f"n{r.randrange(50)}" for _ in range(r.randrange(0, 400))]
+        need = math.ceil(0.85 * m - 1e-9)
+        p = license_scan.densest(license_scan.patience(text, template), need)
+        n = p[-1][0] - p[0][0] + 1 if p else 0
+        want = len(p) >= need and len(p) >= 0.6 * n
+        got = license_scan.Scanner({"L": [" ".join(template)]}, 0.85, 0.6).scan(" ".join(text))
+        assert len(got) >= want and len(got) <= 1
+        if want:
+            assert got[0][1] * got[0][2] >= len(p) / m * len(p) / n - 1e-9 and got[0][3] < p[-1][0] and got[0][3] + got[0][4] > p[0][0]
+
+
 def test_patience_is_increasing_and_equal():
     r = random.Random(0)
     for _ in range(50):
@@ -357,25 +397,69 @@ def test_patience_is_increasing_and_equal():
     assert len(license_scan.patience(a, a[:5] + [99] + a[5:])) == 20
 
 
-@pytest.mark.parametrize("a,c", [(1e-9, 5000), (0.3, 500), (100.0, 1000), (500.0, 1000)])
-def test_seating_is_that_of_one_by_one(a, c):
-    r, d, many = np.random.default_rng(6), 0.7, 400
-    t = np.ones(many)
-    for n in range(1, c):
-        t += r.random(many) * (a + n - d * t) < a
-    got = lm_score.seat(np.full(many, c), np.full(many, a), d, r)
-    assert abs(got.mean() - t.mean()) <= 5 * np.sqrt((got.var() + t.var()) / many)
-    assert 0.7 * t.std() <= got.std() <= 1.4 * t.std()
-
-
-def test_lm(docs, empty):
+@pytest.mark.parametrize("small", [1, 256])
+@pytest.mark.parametrize("a,c", [(1e-6, 40), (0.3, 3), (0.02, 200), (5.0, 60), (100.0, 120)])
+def test_tables_have_their_odds(a, c, small, monkeypatch):
+    d, many, r = 0.7, 3000, np.random.default_rng(6)
+    log = lm_score.stirling(d)[c] + np.arange(1, c + 1) * np.log(a)
+    want = np.exp(log - np.logaddexp.reduce(log))
+    mean = (want * np.arange(1, c + 1)).sum()
+    std = np.sqrt(max(0, (want * np.arange(1, c + 1) ** 2).sum() - mean**2))
+    monkeypatch.setattr(lm_score, "SMALL", small)
+    t, path = lm_score.first_seats(np.full(many, c))
+    for _ in range(1 if small > 1 else 25):
+        t, path = lm_score.reseat(np.full(many, c), t, path, np.full(many, a), d, r)
+    assert abs(t.mean() - mean) <= 5 * std / np.sqrt(many) + 0.01 and abs(t.std() - std) <= 0.1 * std + 0.02
+
+
+def test_stirling_numbers():
+    d, n = 0.4, 6
+    s = {(1, 1): 1.0}
+    for c in range(1, n):
+        for k in range(1, c + 2):
+            s[c + 1, k] = (c - d * k) * s.get((c, k), 0) + s.get((c, k - 1), 0)
+    assert np.exp(lm_score.stirling(d)[n]) == pytest.approx([s[n, k] for k in range(1, n + 1)])
+
+
+def test_log_gamma():
+    x = np.array([1e-6, 0.1, 0.5, 1, 2, 3.7, 9.99, 10, 123.4, 1e6])
+    assert lm_score.lgamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-10)
+
+
+def test_restaurant_is_that_of_one_by_one():
+    """Sweeps by dish against a sampler that moves a customer at a time between tables."""
+    c, g, d, strength, r = [30, 1, 7, 2, 12], np.array([0.3, 0.1, 0.2, 0.05, 0.35]), 0.6, 1.5, random.Random(3)
+    tables = [[1] * n for n in c]
+    got, n = np.zeros(5), 0
+    for sweep in range(3000):
+        for w in range(5):
+            for _ in range(c[w]):
+                x = r.randrange(sum(tables[w]))
+                k = next(i for i, e in enumerate(np.cumsum(tables[w])) if x < e)
+                tables[w][k] -= 1
+                tables[w] = [e for e in tables[w] if e]
+                odds = [e - d for e in tables[w]] + [(strength + d * sum(map(len, tables))) * g[w]]
+                k = r.choices(range(len(odds)), odds)[0]
+                tables[w] = tables[w] + [1] if k == len(tables[w]) else [e + (i == k) for i, e in enumerate(tables[w])]
+        if sweep >= 200:
+            got, n = got + [len(x) for x in tables], n + 1
+    rng, t, mean = np.random.default_rng(1), np.ones(5, np.int64), np.zeros(5)
+    for sweep in range(6200):
+        t, _ = lm_score.reseat(np.array(c), t, np.zeros(5), d * rng.gamma(strength / d + t.sum()) * g, d, rng)
+        if sweep >= 200:
+            mean += t / 6000
+    assert mean == pytest.approx(got / n, rel=0.06)
+
+
+def test_lm(spark, docs, empty):
     got = lm_score.lm_score(docs).collect()
     other = {(r["doc_id"], round(r["log_prob"], 6)) for r in lm_score.lm_score(docs, limit=0).collect()}
     assert {(r["doc_id"], round(r["log_prob"], 6)) for r in got} == other and len(got) == len(corpus())
     assert all((r["perplexity"] is None) == (r["n_tokens"] == 0) for r in got)
-    types = lm_score.pairs(docs)
-    m = lm_score.fit(types, tokens.encoder().size + 1)
-    p = {r["code"]: r["logp"] for r in lm_score.predictions(types, m).collect()}
+    m, seats = lm_score.fit(lm_score.pairs(docs), tokens.encoder().size + 1)
+    p = {}
+    for r in lm_score.predictions(m, seats).collect():
+        p |= dict(zip(np.frombuffer(r["code"], "<u4").tolist(), np.frombuffer(r["logp"], "<f8").tolist()))
     u = next(iter(p)) >> 16
     every = np.array([u << 16 | w for w in range(tokens.encoder().size + 1)], np.uint32)
     prob = m.unseen(every)
@@ -384,6 +468,11 @@ def test_lm(docs, empty):
             prob[c & 0xFFFF] = np.exp(lp)
     assert prob.sum() == pytest.approx(1, abs=1e-6)
     assert lm_score.lm_score(empty).count() == 0
+    want = {}
+    for r in corpus():
+        ids = [tokens.encoder().end, *tokens.encoder().plain.encode_ordinary(r[1] or ""), tokens.encoder().end]
+        want.setdefault(r[0], []).append(round(sum(p[x << 16 | y] for x, y in zip(ids, ids[1:])), 6) if r[1] else 0.0)
+    assert {(k, v) for k, vs in want.items() for v in vs} == {(r["doc_id"], round(r["log_prob"], 6)) for r in got}
 
 
 def test_edits(spark, empty):
@@ -399,6 +488,7 @@ def test_edits(spark, empty):
             a, z = min(a, len(text)), min(z, len(text))
             text = text[:a] + new + text[z:]
             assert tree.text == text and tree.n_tokens == len(enc.plain.encode_ordinary(text))
+    assert [x[2] for x in edit_counts.scrubs("x" * 200 + "@example.com and a.b@c.de")] == ["<email>"] * 2
     d = spark.createDataFrame([(1, "mail me@example.com now"), (2, None)], "doc_id bigint, text string")
     got = {x["doc_id"]: x for x in edit_counts.edited_counts(d).collect()}
     assert got[1]["tokens_after"] == len(enc.plain.encode_ordinary("mail <email> now")) and got[2]["tokens_after"] == 0
