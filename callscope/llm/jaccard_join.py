@@ -209,15 +209,19 @@ def _signed(docs: DataFrame, n: int, threshold: float, frequent: tuple[np.ndarra
         held, sizes, ids, size = [], [], [], 0
 
         def out():
-            sig, q, who = np.concatenate(held), np.concatenate(sizes), np.concatenate(ids)
-            o = np.lexsort((blocks(who), sig))
-            sig, q, who = sig[o], q[o], who[o]
-            new = np.append(True, (sig[1:] != sig[:-1]) | (who[1:] != who[:-1]))  # most copies in a task come as one
-            sig, q, who = sig[new], q[new], who[new]
+            sig = np.concatenate(held)
+            name, first, rank = np.unique(np.array(ids, NAME), return_index=True, return_inverse=True)
+            who, near = np.repeat(rank.astype(np.uint32), list(map(len, held))), np.array(sizes, np.uint8)[first]
+            held.clear()  # a signature takes 12 bytes until its set's name is put beside it, bucket by bucket
+            o = np.lexsort((who, sig))
+            sig, who = sig[o], who[o]
+            del o
+            new = np.append(True, (sig[1:] != sig[:-1]) | (who[1:] != who[:-1]))[: len(sig)]  # most copies in a task come as one
+            sig, who = sig[new], who[new]
             at = [(b, a, z) for b, (a, z) in enumerate(zip(*_cut(sig, bits))) if z > a]
-            cols = (((sig >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).copy(), q, who)
+            cols = (lambda a, z: (sig[a:z] >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7], lambda a, z: near[who[a:z]], lambda a, z: name[who[a:z]])
             rows = len(at)
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in at], pa.int32()), *(pa.array([x[a:z].tobytes() for _, a, z in at], pa.binary()) for x in cols), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()), *(pa.nulls(rows, pa.int64()) for _ in keys)], names)
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in at], pa.int32()), *(pa.array([x(a, z).tobytes() for _, a, z in at], pa.binary()) for x in cols), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()), *(pa.nulls(rows, pa.int64()) for _ in keys)], names)
 
         for b in small_batches(batches):
             g, off = gram_sets(column(b, "text"), n)
@@ -237,8 +241,8 @@ def _signed(docs: DataFrame, n: int, threshold: float, frequent: tuple[np.ndarra
                 bitmaps.append(sketch(g[x:y]))
                 s = signatures(g[x:y], level[x:y], threshold, num[x:y])
                 held.append(s)
-                sizes.append(np.full(len(s), q[i]))
-                ids.append(np.full(len(s), own[-1], NAME))
+                sizes.append(q[i])
+                ids.append(own[-1])
                 size += len(s)
             nothing = [pa.nulls(b.num_rows, t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array(own, pa.binary()), pa.array(np.diff(off), pa.int64()), pa.array(bitmaps, pa.binary()), *(b.column(b.schema.get_field_index(c)) for c in keys)], names)
