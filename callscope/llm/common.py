@@ -20,6 +20,7 @@ _TO_SPACE = bytes(32 if b in DELIMS else b for b in range(256))
 #: The same words in DuckDB SQL, given a column of text.
 WORDS_SQL = r"regexp_extract_all(lower({0}), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+')"
 MEMO_LIMIT = 100_000
+BATCH_BYTES = 8 << 20  # of rows that go to Python at once, at most; a longer row goes alone
 
 
 class _WordHash(dict):
@@ -185,8 +186,17 @@ def place(df: DataFrame, name: str) -> int | None:
     return same[0] if same else None
 
 
+def lean(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch in this session: by rows alone, a batch of long texts takes memory in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not re.fullmatch(r"\d+b?", now) or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def flat(df: DataFrame) -> DataFrame:
     """The same rows with columns c0, c1 and so on: names that clash or hold dots are no matter; toDF brings them back."""
+    lean(df.sparkSession)
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
