@@ -68,14 +68,13 @@ class BiGRU:
         U = np.stack([(self.w["U" + d] * 0.5).T for d in dirs])
         return np.ascontiguousarray(E), np.ascontiguousarray(U), np.stack([self.w["V" + d].T for d in dirs])
 
-    def steps(self, dirs: str, x: list[np.ndarray], live: np.ndarray, state: np.ndarray, keep: bool = True):
-        """Last states, and for each direction the labels' scores at each cell, of packed bytes: live[t] rows at step t.
+    def steps(self, dirs: str, x: list[np.ndarray], live: np.ndarray, state: np.ndarray, scores: np.ndarray | None = None, spots: list[np.ndarray] = ()):
+        """Last states, of packed bytes: live[t] rows at step t. The labels' scores at each cell are added to those at its spot.
 
         Rows lie last in all arrays, so that numpy's loops are long: states are (directions, hidden, rows). What needs no state
         is done for a run of steps at once.
         """
         h, (E, U, V) = self.hidden, self._ready(dirs)
-        s = [np.empty((V.shape[1], len(x[0])), "f4") for _ in dirs] if keep else None
         state, at, t = state.copy(), 0, 0
         first = np.append(0, np.cumsum(live))
         while t < len(live):
@@ -104,11 +103,12 @@ class BiGRU:
                 state += q
                 seen[:, :, a:z] = state
                 a = z
-            if keep:
-                for k in range(len(dirs)):
-                    s[k][:, at : at + cells] = V[k] @ seen[k]
+            for k, spot in enumerate(spots):
+                here = spot[at : at + cells]
+                for total, more in zip(scores, V[k] @ seen[k]):
+                    total[here] += more
             at, t = at + cells, end
-        return state, s
+        return state
 
     def _shares(self, s: np.ndarray) -> np.ndarray:
         """(labels, cells) of scores (labels, cells), in place."""
@@ -128,15 +128,15 @@ class BiGRU:
         live = np.searchsorted(-n[order], -np.arange(n.max()), "left")  # rows longer than t
         before = (np.cumsum(live) - live).astype(np.int32)
         flat = np.frombuffer(b"".join(texts), np.uint8)
-        f, b = np.empty(len(flat), np.int32), np.empty(len(flat), np.int32)
+        x, spots = [np.empty(len(flat), np.uint8) for _ in "fb"], [np.empty(len(flat), np.int32) for _ in "fb"]
         for r, m, z in zip(rank.tolist(), n.tolist(), np.cumsum(n).tolist()):
-            f[z - m : z] = before[:m] + np.int32(r)
-            b[z - m : z] = f[z - m : z][::-1]
-        x = [np.empty(len(flat), np.uint8) for _ in "fb"]
-        x[0][f], x[1][b] = flat, flat
-        s = self.steps("fb", x, live, np.zeros((2, self.hidden, len(n)), "f4"))[1]
+            cells, own = before[:m] + np.int32(r), np.arange(z - m, z, dtype=np.int32)
+            for k, at in enumerate((own, own[::-1])):
+                x[k][cells], spots[k][cells] = flat[at], at
+        s = np.zeros((len(self.labels), len(flat)), "f4")
+        self.steps("fb", x, live, np.zeros((2, self.hidden, len(n)), "f4"), s, spots)
         for a in range(0, len(flat), RUN):
-            yield a, self._shares(s[0].take(f[a : a + RUN], 1) + s[1].take(b[a : a + RUN], 1))
+            yield a, self._shares(s[:, a : a + RUN].copy())
 
     def long_probs(self, text: bytes, room: int):
         """(labels, bytes) of one text in runs of room bytes, last run first; states are carried over from run to run."""
@@ -144,12 +144,12 @@ class BiGRU:
         zero = np.zeros((1, self.hidden, 1), "f4")
         fore, back = [zero], zero
         for x in runs[:-1]:
-            fore.append(self.steps("f", [x], np.ones(len(x), int), fore[-1], False)[0])
+            fore.append(self.steps("f", [x], np.ones(len(x), int), fore[-1]))
         for x, state in zip(runs[::-1], fore[::-1]):
-            one = np.ones(len(x), int)
-            s = self.steps("f", [x], one, state)[1][0]
-            back, t = self.steps("b", [x[::-1]], one, back)
-            yield self._shares(s + t[0][:, ::-1])
+            one, at, s = np.ones(len(x), int), np.arange(len(x)), np.zeros((len(self.labels), len(x)), "f4")
+            self.steps("f", [x], one, state, s, [at])
+            back = self.steps("b", [x[::-1]], one, back, s, [at[::-1]])
+            yield self._shares(s)
 
     def gradients(self, x, n, y):
         """Loss (mean cross entropy of the bytes) and gradients, by backpropagation through time. y: a label a row, or a byte."""
