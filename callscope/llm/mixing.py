@@ -113,10 +113,10 @@ def blocks(docs: DataFrame, block: int = BLOCK, tokenizer: str = TOKENIZER) -> D
         enc = encoder(tokenizer)
         packer, part, seq, left = Packer(enc, block), TaskContext.get().partitionId(), {}, {}
         for b in small_batches(batches):
-            got = []
-            for s, g, t in zip(column(b, "source"), column(b, "lang"), column(b, "text")):
-                if raw := enc.encode(t):
-                    got += packer.add(s or "", g, np.append(np.frombuffer(raw, "<u2"), np.uint16(enc.end)))
+            got, (flat, off) = [], enc.flat(b.column(0))
+            for s, g, a, z in zip(column(b, "source"), column(b, "lang"), off.tolist(), off[1:].tolist()):
+                if z > a:
+                    got += packer.add(s or "", g, np.append(flat[a:z], np.uint16(enc.end)))
             if got:
                 yield packed(got, part, seq, enc, True)
             if len(packer.held) > HELD:
