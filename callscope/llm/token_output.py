@@ -84,7 +84,7 @@ def _ids(docs: DataFrame, tokenizer: str) -> DataFrame:
     def rows(batches):
         enc = encoder(tokenizer)
         for b in small_batches(batches):
-            flat, off = enc.flat(column(b, "text"))
+            flat, off = enc.flat(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), binary_array(flat, off)], ["doc_id", "ids"])
 
     return pick(docs, doc_id="bigint", text="string").mapInArrow(rows, "doc_id bigint, ids binary")

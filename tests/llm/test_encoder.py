@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from callscope.llm import mixing, tokens
+from callscope.llm import mixing, token_output, tokens
 
 ROWS = [(i, " ".join(f"w{(i * 7 + j) % 300}x" for j in range(200)), "en", "s0", 1) for i in range(6)]
 ODD = ["", " ", " a", "a ", "a  b", "a\n b", "a b\n", "x 'll y", "é  1  2", "\x1c a", "a \x1cb c", "\n", "a.\nb c", None, "a b a b", "中 文 a"]
@@ -47,3 +47,15 @@ def test_mixing_encodes_a_batch_at_once(spark, tmp_path, monkeypatch):
     assert (tmp_path / "calls").stat().st_size <= len(ROWS) + 1
     enc = tokens.encoder()
     assert np.concatenate([np.frombuffer(r["ids"], "<u2")[: r["n"]] for r in got]).tolist() == [x for r in ROWS for x in [*enc.plain.encode_ordinary(r[1]), enc.end]]
+
+
+def test_token_output_encodes_a_batch_at_once(spark, tmp_path, monkeypatch):
+    """op1_token_output: the same."""
+    monkeypatch.setattr(token_output, "encoder", counting(str(tmp_path / "calls")))
+    docs = spark.createDataFrame([r[:2] for r in ROWS], "doc_id bigint, text string").coalesce(1)
+    out = token_output.token_output(docs)
+    n = {r["doc_id"]: r["n_tokens"] for r in out.collect()}
+    assert (tmp_path / "calls").stat().st_size <= len(ROWS) + 1
+    monkeypatch.undo()
+    assert n == {r[0]: len(tokens.encoder().plain.encode_ordinary(r[1])) for r in ROWS}
+    assert {tuple(r) for r in token_output.decoded(out).collect()} == {r[:2] for r in ROWS}
