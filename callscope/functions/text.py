@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANK))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once a row: inside a lambda an expression is evaluated anew at each use."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Runs of letters, digits and underscores; none of a null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from callscope.functions.text import strip
+from callscope.functions.text import once, strip
 
 STOP = r"(?i)^(questions and answers|q&a|operator)$"
 QUESTIONS = r"(?i)^(questions and answers|q&a)$"
-RULE = r"^[-=]{5,}$"
+MARK = r"\n[ \t]*+[-=]{5,}+[ \t]*+(?=\n|\z)"  # a separator line, with the end of the line before
 BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"  # all that ends a line
 
 
@@ -23,37 +23,34 @@ def _first(rows: Column, test) -> Column:
 
 def presentation(body: Column) -> Column:
     """Lines after Presentation up to a heading of questions or the operator; nothing if such a heading comes first."""
-    rows = lines(body)
-    at, stop = _first(rows, lambda x: x == "Presentation"), _first(rows, lambda x: x.rlike(STOP))
-    n = F.when(stop > 0, stop - at - 1).otherwise(F.size(rows))
-    return F.when((at > 0) & ((stop == 0) | (stop > at)), strip(F.array_join(F.slice(rows, (at + 1).cast("int"), n.cast("int")), "\n"))).otherwise(F.lit(""))
+
+    def cut(rows, at, stop):
+        n = F.when(stop > 0, stop - at - 1).otherwise(F.size(rows))
+        return F.when((at > 0) & ((stop == 0) | (stop > at)), strip(F.array_join(F.slice(rows, (at + 1).cast("int"), n.cast("int")), "\n"))).otherwise(F.lit(""))
+
+    def found(rows):
+        return once(F.struct(_first(rows, lambda x: x == "Presentation").alias("at"), _first(rows, lambda x: x.rlike(STOP)).alias("stop")), lambda p: cut(rows, p["at"], p["stop"]))
+
+    return once(lines(body), found)
 
 
 def questions(body: Column) -> Column:
     """Lines after the first heading of questions."""
-    rows = lines(body)
-    at = _first(rows, lambda x: x.rlike(QUESTIONS))
-    return F.when(at > 0, strip(F.array_join(F.slice(rows, (at + 1).cast("int"), F.size(rows)), "\n"))).otherwise(F.lit(""))
+
+    def cut(rows, at):
+        return F.when(at > 0, strip(F.array_join(F.slice(rows, (at + 1).cast("int"), F.size(rows)), "\n"))).otherwise(F.lit(""))
+
+    return once(lines(body), lambda rows: once(_first(rows, lambda x: x.rlike(QUESTIONS)), lambda at: cut(rows, at)))
 
 
 def spoken(text: Column, strict: bool = False) -> Column:
     """Without separator lines and the two lines after each.
 
     A separator among those two is passed over with them, so the next one counts. strict drops only a line between two
-    separators, with them.
+    separators, with them. One pass from the left over the text: each line is looked at once.
     """
-    rows = lines(text)
-    flag = F.transform(rows, lambda x: strip(x).rlike(RULE))
-    marks = F.filter(F.transform(flag, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    if strict:
-        marks = F.filter(marks, lambda i: F.coalesce(F.get(flag, i + 2), F.lit(False)))
-    start = F.struct(F.lit(-3).alias("last"), F.array().cast("array<int>").alias("out"))
-    took = F.aggregate(marks, start, lambda a, i: F.when(i > a["last"] + 2, F.struct(i.alias("last"), F.concat(a["out"], F.array(i)).alias("out"))).otherwise(a), lambda a: a["out"])
-    gone = F.flatten(F.transform(took, lambda i: F.array(i, i + 1, i + 2)))
-    left = F.array_except(F.sequence(F.lit(0), F.size(rows) - 1), gone)
-    if strict:
-        left = F.array_except(left, marks)
-    return strip(F.array_join(F.transform(left, lambda i: F.get(rows, i)), "\n"))
+    gone = f"{MARK}\\n[^\\n]*+{MARK}" if strict else MARK + r"(?:\n[^\n]*+){0,2}"
+    return strip(F.regexp_replace(F.concat(F.lit("\n"), F.regexp_replace(F.coalesce(text, F.lit("")), BREAK, "\n")), gone, ""))
 
 
 def match_text(body: Column, strict: bool = False) -> Column:
