@@ -40,6 +40,22 @@ def direct(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", text: str
     return d.join(small(k), F.lower("matched_text") == F.col("kw_lc")).select(key, "keyword_set", "ord", "keyword", "position", "matched_text", "context")
 
 
+def known(keywords: DataFrame, inline: int = INLINE) -> dict[str, list[str]] | None:
+    """The sets' keywords in lower case; nothing if they are too many to be looked up inside a document's array."""
+    got = distinct_keywords(keywords).select("keyword_set", "kw_lc").limit(inline + 1).collect()
+    if len(got) > inline:
+        return None
+    out: dict[str, list[str]] = {}
+    for name, word in got:
+        out.setdefault(name, []).append(word)
+    return out
+
+
+def one_of(word: Column, words: list[str]) -> Column:
+    """Whether a word is, in any case, one of some in lower case."""
+    return F.lower(word).isin(words) if words else F.lit(False)
+
+
 def around(sents: Column, at: Column, context: int = 0) -> Column:
     """A sentence, and so many on either side."""
     if not context:

@@ -55,6 +55,11 @@ def keyword_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, i, k) for s, ks in SETS.items() for i, k in enumerate(ks)], "keyword_set string, ord bigint, keyword string")
 
 
+def _shared(spark, sf_dir):
+    """Sentences of both sets, and their numbers."""
+    return compare.shared_in(table(spark, sf_dir, "documents").select("doc_id", "text"), keyword_table(spark), list(SETS))
+
+
 def _matches(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kw = keyword_table(spark)
@@ -189,7 +194,7 @@ def shared_sentences(spark, sf_dir):
 
 @register("shared_counts", CTE + _SHARED + " SELECT v.doc_id, count(s.sentence) AS shared_sentences_count FROM v LEFT JOIN s USING (doc_id) GROUP BY 1")
 def shared_counts(spark, sf_dir):
-    return compare.shared_sentences(_matches(spark, sf_dir)[2], list(SETS))[1]
+    return _shared(spark, sf_dir)[1]
 
 
 _DAY = f"WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS mean_value FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT CAST(day AS VARCHAR) AS day, {near4('mean_value')} AS mean_value, {near4('avg(mean_value) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)')} AS rolling FROM d"
@@ -436,18 +441,14 @@ def exposure_rows(spark, sf_dir):
     return _exposures(spark, sf_dir)
 
 
-def _counts(spark, sf_dir):
-    return compare.shared_sentences(_matches(spark, sf_dir)[2], list(SETS))[1]
-
-
 @register("corpus_totals", f"SELECT count(*) AS total_calls, count(*) FILTER (shared_sentences_count > 0) AS calls_with_shared, CAST(coalesce(sum(shared_sentences_count), 0) AS BIGINT) AS total_shared FROM ({SQL['shared_counts']})")
 def corpus_totals(spark, sf_dir):
-    return reports.corpus_totals(_counts(spark, sf_dir))
+    return reports.corpus_totals(compare.shared_sentences(_matches(spark, sf_dir)[2], list(SETS))[1])
 
 
 @register("shared_summary", f"SELECT d.doc_id, d.source, shared_sentences_count FROM documents d JOIN ({SQL['shared_counts']}) c USING (doc_id)")
 def shared_summary(spark, sf_dir):
-    return reports.with_shared_counts(table(spark, sf_dir, "documents").select("doc_id", "source"), _counts(spark, sf_dir), "doc_id")
+    return reports.with_shared_counts(table(spark, sf_dir, "documents").select("doc_id", "source"), _shared(spark, sf_dir)[1], "doc_id")
 
 
 @register(
@@ -456,7 +457,7 @@ def shared_summary(spark, sf_dir):
 )
 def shared_series(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.date_add(F.lit("2016-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int")).alias("day"))
-    r = compare.daily(reports.with_shared_counts(d, _counts(spark, sf_dir), "doc_id"), "day", "shared_sentences_count")
+    r = compare.daily(reports.with_shared_counts(d, _shared(spark, sf_dir)[1], "doc_id"), "day", "shared_sentences_count")
     return r.select(F.col("day").cast("string").alias("day"), *[T.near4(F.col(c)).alias(c) for c in ("mean_value", "rolling")])
 
 
