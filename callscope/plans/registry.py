@@ -443,7 +443,7 @@ def exposure_rows(spark, sf_dir):
 
 @register("corpus_totals", f"SELECT count(*) AS total_calls, count(*) FILTER (shared_sentences_count > 0) AS calls_with_shared, CAST(coalesce(sum(shared_sentences_count), 0) AS BIGINT) AS total_shared FROM ({SQL['shared_counts']})")
 def corpus_totals(spark, sf_dir):
-    return reports.corpus_totals(compare.shared_sentences(_matches(spark, sf_dir)[2], list(SETS))[1])
+    return reports.corpus_totals(_shared(spark, sf_dir)[1])
 
 
 @register("shared_summary", f"SELECT d.doc_id, d.source, shared_sentences_count FROM documents d JOIN ({SQL['shared_counts']}) c USING (doc_id)")
