@@ -189,7 +189,7 @@ _SHARED = ", s AS (SELECT doc_id, context AS sentence FROM m GROUP BY 1, 2 HAVIN
 
 @register("shared_sentences", CTE + _SHARED + " SELECT s.* FROM s JOIN v USING (doc_id)")
 def shared_sentences(spark, sf_dir):
-    return compare.shared_sentences(_matches(spark, sf_dir)[2], list(SETS))[0].select("doc_id", "sentence")
+    return _shared(spark, sf_dir)[0]
 
 
 @register("shared_counts", CTE + _SHARED + " SELECT v.doc_id, count(s.sentence) AS shared_sentences_count FROM v LEFT JOIN s USING (doc_id) GROUP BY 1")
