@@ -27,8 +27,12 @@ def words(text: Column) -> Column:
 
 def pairs(tokens: Column) -> Column:
     """Neighbouring words joined by a space."""
-    n = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.zip_with(F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    def joined(w):
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    return once(tokens, joined)
 
 
 def _kept(parts: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import text as T
+from callscope.functions.text import once
 
-from .decompose import placed
+from .decompose import bigrams, placed
 from .tables import small
 
 INLINE = 20_000  # keywords that are looked up inside a document's array of words; more are joined
@@ -117,6 +118,32 @@ def bigrams_apart(bigrams: DataFrame, words: DataFrame, key: str = "doc_id", pos
     return bigrams.join(near, [key, position], "left_anti")
 
 
+def pairs_apart(docs: DataFrame, keywords: DataFrame, key: str = "doc_id", text: str = "text", inline: int = INLINE) -> DataFrame:
+    """key, position, bigram: pairs of words that have no direct match within one place, found inside the document's array.
+
+    Each row of docs is a document of its own; keywords too many for the array are joined by key and place, which rows of
+    one key then share. A document without a key has no matches, so all its pairs stay.
+    """
+    words = known(keywords, inline)
+    if words is None:
+        b = bigrams(docs, key, text).withColumnRenamed("pos", "position")
+        return bigrams_apart(b, direct(docs, keywords, key, text, inline), key)
+    every = sorted({w for ws in words.values() for w in ws})
+
+    def kept(w, hit):
+        def at(i):
+            return F.coalesce(F.get(hit, i), F.lit(False))
+
+        def pair(x, i):
+            apart = F.col(key).isNull() | ~(at(i - 1) | at(i) | at(i + 1))
+            return F.when((i < F.size(w) - 1) & apart, F.struct(i.alias("position"), F.concat(x, F.lit(" "), F.get(w, i + 1)).alias("bigram")))
+
+        return F.filter(F.transform(w, pair), lambda x: x.isNotNull())
+
+    found = once(T.words(F.col(text)), lambda w: once(F.transform(w, lambda x: one_of(x, every)), lambda hit: kept(w, hit)))
+    return docs.select(key, F.explode(found).alias("x")).select(key, "x.position", "x.bigram")
+
+
 def cosine(docs: DataFrame, vectors: DataFrame, keywords: DataFrame, threshold: float = 0.7, mode: str = "word", exclude_duplicates: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, unit, position, matched_text, keyword, ord, match_type, score, context for mode word, bigram or hybrid.
 

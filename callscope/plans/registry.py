@@ -166,9 +166,7 @@ def cosine_best(spark, sf_dir):
     CTE + ", b AS (SELECT doc_id, pos, token || ' ' || lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS bigram, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM ps), m1 AS (SELECT DISTINCT doc_id, position FROM m WHERE keyword_set = 'alpha'), b2 AS (SELECT doc_id, CAST(pos AS INTEGER) AS position, bigram FROM b WHERE nx IS NOT NULL) SELECT * FROM b2 WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.doc_id = b2.doc_id AND abs(m1.position - b2.position) <= 1)",
 )
 def bigram_range_anti(spark, sf_dir):
-    docs, _, m = _matches(spark, sf_dir)
-    b = decompose.bigrams(docs).select("doc_id", F.col("pos").alias("position"), "bigram")
-    return match.bigrams_apart(b, m.where("keyword_set = 'alpha'"))
+    return match.pairs_apart(table(spark, sf_dir, "documents").select("doc_id", "text"), keyword_table(spark).where("keyword_set = 'alpha'"))
 
 
 _PCT = "coalesce(floor(1e6 * {0} / nullif({1}, 0)::DOUBLE + 0.5) / 1e4, 0)"
